@@ -37,7 +37,7 @@ LOOKUPS = f"""
 sites(rank, site) AS (VALUES {_SITES}),
 popular(rank, site) AS (VALUES {_POPULAR}),
 ev AS (
-  SELECT event_id AS e, user_id AS u, event_type AS k, ts AS at, cast(floor(value) AS bigint) AS v,
+  SELECT event_id AS e, user_id AS u, event_type AS k, ts AS stamp, cast(floor(value) AS bigint) AS v,
          cast(user_id % 4 + 2 AS integer) AS p, (SELECT site FROM sites WHERE rank = event_id % {len(SITES)} + 1) AS target
   FROM events),
 named AS (
@@ -51,7 +51,7 @@ named AS (
       ELSE u % 2 = 0 AND e % 3 = 0 END AS answered
   FROM ev),
 lk AS (
-  SELECT e AS lookup_id, epoch_us(at) // 60000000 AS ts, 0 AS typ,
+  SELECT e AS lookup_id, epoch_us(stamp) // 60000000 AS ts, 0 AS typ,
     CASE WHEN u % 11 = 0 THEN '2001:db8::' || u ELSE '10.' || u % 8 || '.' || u % 250 || '.' || e % 200 END AS src_ip,
     '192.0.2.' || u % 5 AS dst_ip, qname,
     CASE WHEN e % 7 = 0 THEN 28 ELSE 1 END AS qtype, CASE WHEN k = 'purchase' THEN 3 ELSE 0 END AS rcode,
