@@ -34,10 +34,16 @@ def read_lines(
 
 
 def _integer(token: Column, kind: str) -> Column:
-    """Value of a token that is a plain integer, else NULL."""
+    """Value of a token that is a plain integer, else NULL. The pattern comes first because a
+    failing cast costs an exception, and casts forgive blanks and decimals."""
     return F.when(token.rlike(r"^[+-]?[0-9]+$"), token.try_cast(kind))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, through a one-element array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _record(values: Column) -> Column:
     """A resource record from the values of one row.
 
@@ -48,74 +54,71 @@ def _record(values: Column) -> Column:
     fields = []
     for at, name in enumerate(RR_FIELDS[:4]):
         fields.append(F.when(count > at, F.get(values, F.lit(at))).when(count == at, F.lit("")).alias(name))
-    rest = F.array_join(F.slice(values, 5, F.greatest(count, F.lit(1))), ";")
+    rest = F.when(count == 5, F.get(values, F.lit(4))).otherwise(
+        F.array_join(F.slice(values, 5, F.greatest(count, F.lit(1))), ";")
+    )
     fields.append(F.when(count >= 4, rest).alias(RR_FIELDS[4]))
     return F.struct(*fields)
 
 
-def _sections(tokens: Column, numbers: Column) -> Column:
-    """Read the three sections in one pass over the tokens.
+def _rows(tokens: Column) -> Column:
+    """Where the rows of the three sections lie, found in one pass over the tokens.
 
     The state is a cursor: ``next`` is where the next count stands, tokens before it are
-    skipped; ``section`` is the section being read (3 when all are done) and ``rows`` how many
-    of its rows are still to come. Any irregularity sets ``bad`` and empties all sections.
-    ``numbers`` holds the tokens that are integers, NULL elsewhere.
+    skipped; ``section`` is the section being read (3 when all are done) and ``left`` how many
+    of its rows are still to come. Any irregularity sets ``bad`` and leaves no rows at all.
     """
-    record_type = "array<struct<section:int,rr:struct<" + ",".join(f"{f}:string" for f in RR_FIELDS) + ">>>"
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("next"),
-        F.lit(0).alias("section"),
-        F.lit(0).alias("rows"),
-        F.lit(False).alias("bad"),
-        F.array().cast(record_type).alias("out"),
-    )
+    kind = "array<struct<section:int,start:int,size:int>>"
+    none = F.array().cast(kind)
+    fields = {"next": "bigint", "section": "int", "left": "int", "bad": "boolean", "out": kind}
+
+    def state(**values: Column) -> Column:
+        return F.struct(*[values[f].cast(t).alias(f) for f, t in fields.items()])
+
+    start = state(next=F.lit(0), section=F.lit(0), left=F.lit(0), bad=F.lit(False), out=none)
 
     def step(acc: Column, at: Column) -> Column:
-        def state(next=None, section=None, rows=None, bad=None, out=None) -> Column:
-            return F.struct(
-                (acc["next"] if next is None else next).cast("bigint").alias("next"),
-                (acc["section"] if section is None else section).alias("section"),
-                (acc["rows"] if rows is None else rows).alias("rows"),
-                (acc["bad"] if bad is None else bad).alias("bad"),
-                (acc["out"] if out is None else out).alias("out"),
-            )
+        def moved(**changes: Column) -> Column:
+            return state(**{f: changes.get(f, acc[f]) for f in fields})
 
-        value = F.get(numbers, at)
         # After a row, the section moves on once its last row is read.
-        rows_left = acc["rows"] - 1
-        section_after_row = F.when(rows_left == 0, acc["section"] + 1).otherwise(acc["section"])
-        values = F.slice(tokens, at + 2, F.greatest(F.least(value, F.size(tokens)), F.lit(0)))
-        entry = F.array(F.struct(acc["section"].alias("section"), _record(values).alias("rr")))
-        return (
-            F.when((at < acc["next"]) | acc["bad"] | (acc["section"] == 3), acc)
-            .when(value.isNull(), state(bad=F.lit(True)))
-            .when((acc["rows"] == 0) & (value > 0), state(next=at + 1, rows=value))
-            .when(acc["rows"] == 0, state(next=at + 1, section=acc["section"] + 1))
-            .when(value < 0, state(bad=F.lit(True)))
-            .when(value == 0, state(next=at + 1, section=section_after_row, rows=rows_left))
-            .otherwise(
-                state(
-                    next=at.cast("bigint") + 1 + value,
-                    section=section_after_row,
-                    rows=rows_left,
-                    out=F.concat(acc["out"], entry),
+        left = acc["left"] - 1
+        section = acc["section"] + F.when(left == 0, 1).otherwise(0)
+
+        def read(value: Column) -> Column:
+            row = F.struct(acc["section"].alias("section"), (at + 2).alias("start"), value.alias("size"))
+            return (
+                F.when(value.isNull(), moved(bad=F.lit(True)))
+                .when((acc["left"] == 0) & (value > 0), moved(next=at + 1, left=value))
+                .when(acc["left"] == 0, moved(next=at + 1, section=acc["section"] + 1))
+                .when(value < 0, moved(bad=F.lit(True)))
+                .when(value == 0, moved(next=at + 1, section=section, left=left))
+                .otherwise(
+                    moved(
+                        next=at.cast("bigint") + 1 + value,
+                        section=section,
+                        left=left,
+                        out=F.array_append(acc["out"], row),
+                    )
                 )
             )
-        )
+
+        skip = (at < acc["next"]) | acc["bad"] | (acc["section"] == 3)
+        return F.when(skip, acc).otherwise(_let(_integer(F.get(tokens, at), "int"), read))
 
     def finish(acc: Column) -> Column:
-        good = ~acc["bad"] & (acc["section"] == 3)
-        return F.when(good, acc["out"]).otherwise(F.array().cast(record_type))
+        return F.when(~acc["bad"] & (acc["section"] == 3), acc["out"]).otherwise(none)
 
-    scanned = F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, finish)
-    empty = F.array().cast(record_type)
-    # Most lookups carry no records at all, and a line may end before its sections.
-    nothing = (F.size(tokens) == 0) | (F.array_join(F.slice(tokens, 1, 3), ",") == "0,0,0")
-    return F.when(nothing, empty).otherwise(scanned)
+    return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, finish)
 
 
-def _section(out: Column, number: int) -> Column:
-    return F.transform(F.filter(out, lambda e: e["section"] == number), lambda e: e["rr"])
+def _section(tokens: Column, rows: Column, number: int) -> Column:
+    """Records of one section."""
+
+    def record(row: Column) -> Column:
+        return _let(F.slice(tokens, row["start"], F.least(row["size"], F.size(tokens))), _record)
+
+    return F.transform(F.filter(rows, lambda r: r["section"] == number), record)
 
 
 def parse_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = ()) -> DataFrame:
@@ -126,18 +129,17 @@ def parse_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = ())
     be no number. ``keep`` carries further columns of the input along.
     """
     keep = [*keep, line]
-    # Tokens, header and sections are each computed once; what follows only picks from them.
+    # Tokens, header and rows are each computed once; what follows only picks from them.
     rows = once(lines.select(*keep), "t", F.split(F.trim(F.col(line), F.lit(",")), ",+"))
-    rows = once(rows, "num", F.transform("t", lambda token: _integer(token, "bigint")))
+    rows = once(rows, "p", _places())
+    rows = once(rows, "num", F.transform(F.col("p.asked"), lambda token: _integer(token, "bigint")))
     rows = once(rows, "h", _header())
     usable = F.col("h.reason").isNull()
-    values = F.slice("t", F.col("h.type_at") + 3, F.size("t"))
-    counts = F.transform(F.slice("num", F.col("h.type_at") + 3, F.size("t")), lambda n: n.try_cast("int"))
-    rows = once(rows, "body", F.when(usable, F.struct(values.alias("t"), counts.alias("num"))))
-    rows = once(rows, "out", F.when(usable, _sections(F.col("body.t"), F.col("body.num"))))
-
-    def number(i: Column) -> Column:
-        return F.when(usable, F.get("num", i).cast("int"))
+    rows = once(rows, "body", F.when(usable, F.slice("t", F.col("h.type_at") + 3, F.size("t"))))
+    # Most lookups carry no records at all, and a line may end before its sections.
+    empty = (F.size("body") == 0) | (F.array_join(F.slice("body", 1, 3), ",") == "0,0,0")
+    rows = once(rows, "found", F.when(usable & ~empty, _rows(F.col("body"))))
+    nothing = F.array().cast(LOOKUP["answer"].dataType)
 
     def token(i: int) -> Column:
         return F.get("t", F.lit(i))
@@ -145,59 +147,75 @@ def parse_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = ())
     return rows.select(
         *keep,
         F.get("num", F.lit(0)).alias("ts"),
-        number(F.lit(1)).alias("typ"),
+        F.when(usable, F.get("num", F.lit(1)).cast("int")).alias("typ"),
         token(2).alias("src_ip"),
         token(3).alias("dst_ip"),
         F.lower("h.name").alias("qname"),
-        number(F.col("h.type_at")).alias("qtype"),
-        number(F.col("h.type_at") + 1).alias("rcode"),
+        F.when(usable, F.get("num", F.col("h.number_at")).cast("int")).alias("qtype"),
+        F.when(usable, F.get("num", F.col("h.number_at") + 1).cast("int")).alias("rcode"),
         F.col("h.reason").alias("reject_reason"),
-        *[_section(F.col("out"), n).alias(s) for n, s in enumerate(SECTIONS)],
+        *[
+            F.when(usable, F.coalesce(_section(F.col("body"), F.col("found"), n), nothing)).alias(s)
+            for n, s in enumerate(SECTIONS)
+        ],
     )
 
 
-def _header() -> Column:
-    """Name, place of the query type, and the reason to reject, from tokens ``t`` and their
-    integer values ``num``."""
+def _places() -> Column:
+    """Where the name ends and the query type stands, and the tokens that should be numbers:
+    time, type, query type and result code, and the two places these move to when the name
+    holds one stray comma."""
 
     def token(i) -> Column:
         return F.get("t", i if isinstance(i, Column) else F.lit(i))
 
-    def is_int(i) -> Column:
-        value = F.get("num", i if isinstance(i, Column) else F.lit(i))
-        return F.coalesce(value.between(-(1 << 31), (1 << 31) - 1), F.lit(False))
-
-    size = F.size("t")
     quoted = F.coalesce(token(4).startswith('"'), F.lit(False))
     closes = F.filter(
-        F.sequence(F.lit(4), size - 1),
+        F.sequence(F.lit(4), F.size("t") - 1),
         lambda i: token(i).endswith('"') & ~token(i).endswith('""') & ~((i == 4) & (F.length(token(i)) == 1)),
     )
     close = F.when(quoted, F.get(closes, F.lit(0)))
     at = F.when(quoted, close + 1).otherwise(F.lit(5))
+    asked = F.array(token(0), token(1), token(at), token(at + 1), token(6), token(7))
+    return F.struct(quoted.alias("quoted"), close.alias("close"), at.alias("at"), asked.alias("asked"))
+
+
+def _header() -> Column:
+    """Name, place of the query type, and the reason to reject."""
+
+    def given(i: int) -> Column:
+        return F.get("p.asked", F.lit(i)).isNotNull()
+
+    def is_int(i: int) -> Column:
+        return F.coalesce(F.get("num", F.lit(i)).between(-(1 << 31), (1 << 31) - 1), F.lit(False))
+
+    def token(i: int) -> Column:
+        return F.get("t", F.lit(i))
+
+    quoted, close, at = F.col("p.quoted"), F.col("p.close"), F.col("p.at")
     numbered = F.get("num", F.lit(0)).isNotNull() & is_int(1)
-    plain = numbered & is_int(at) & is_int(at + 1)
+    plain = numbered & is_int(2) & is_int(3)
     # The repair applies where a number field was there but was no number.
-    unreadable = (token(at).isNotNull() & ~is_int(at)) | (token(at + 1).isNotNull() & is_int(at) & ~is_int(at + 1))
-    repaired = numbered & unreadable & is_int(6) & is_int(7)
+    unreadable = (given(2) & ~is_int(2)) | (given(3) & is_int(2) & ~is_int(3))
+    repaired = numbered & unreadable & is_int(4) & is_int(5)
     name = F.when(quoted, F.array_join(F.slice("t", 5, close - 3), ",")).otherwise(token(4))
     reason = (
-        F.when(size < 7, F.lit("too few fields"))
+        F.when(F.size("t") < 7, F.lit("too few fields"))
         .when(~numbered, F.lit("time or type is no number"))
         .when(quoted & close.isNull(), F.lit("quote not closed"))
         .otherwise(F.lit("query type or result code is no number"))
     )
 
-    def header(name: Column, type_at: Column, reason: Column) -> Column:
+    def header(name=None, type_at=None, number_at=None, reason=None) -> Column:
+        values = {"name": (name, "string"), "type_at": (type_at, "int"), "number_at": (number_at, "int"), "reason": (reason, "string")}
         return F.struct(
-            name.cast("string").alias("name"), type_at.cast("int").alias("type_at"), reason.cast("string").alias("reason")
+            *[(v if isinstance(v, Column) else F.lit(v)).cast(t).alias(n) for n, (v, t) in values.items()]
         )
 
-    nothing = F.lit(None)
     return (
-        F.when(plain, header(name, at, nothing))
-        .when(repaired, header(F.concat(token(4), token(5)), F.lit(6), nothing))
-        .otherwise(header(nothing, nothing, reason))
+        F.when(plain, header(name, at, 2))
+        .when(repaired, header(F.concat(token(4), token(5)), 6, 4))
+        .otherwise(header(reason=reason))
     )
 
 
