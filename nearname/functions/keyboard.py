@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearname.session import small_table
+
 # Key rows without stagger: a letter or digit touches the up to eight keys around it.
 ROWS = ["1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./"]
 
@@ -48,7 +50,7 @@ def qwerty_edges() -> list[tuple[str, str]]:
 
 
 def key_adjacency(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(qwerty_edges(), "key string, neighbour string")
+    return small_table(spark, qwerty_edges(), "key string, neighbour string")
 
 
 def read_key_adjacency(spark: SparkSession, path: str) -> DataFrame:

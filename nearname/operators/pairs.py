@@ -21,7 +21,7 @@ from nearname.functions.names import dot_count, name_suffix
 from nearname.functions.once import distinct_with
 from nearname.operators.cache import visible_lookups
 from nearname.operators.fuzzy import depths, suffixes_by_depth
-from nearname.operators.seconds import BIN_S, GROUP, running_fold, with_keys
+from nearname.operators.seconds import BIN_S, GROUP, running_fold, second_counts, with_keys
 from nearname.operators.skew import SPLIT_ROWS, salted_join
 
 WINDOW_S = 60
@@ -34,18 +34,24 @@ def pair_rows(
     low: int,
     high: int,
     split_rows: int = SPLIT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join look-alike rows with target rows where low <= target_ts - typo_ts <= high.
 
     Inputs carry ``on`` and ``typo_ts`` / ``target_ts`` and whatever else is to be kept, under
-    different names.
+    different names. ``counts``, the second counts of the log, tell which bins are hot
+    without reading the rows for it.
     """
     width = high - low + 1
     first = F.floor((F.col("typo_ts") + low) / width)
     last = F.floor((F.col("typo_ts") + high) / width)
     spread = typos.withColumn("_bin", F.explode(F.sequence(first, last)))  # at most two bins
     placed = targets.withColumn("_bin", F.floor(F.col("target_ts") / width))
-    joined = salted_join(placed, spread, [*on, "_bin"], split_rows)
+    sizes = None
+    if counts is not None:
+        bins = counts.where(F.col("suffix") == F.col("target")).groupBy(*on, F.floor(F.col("ts") / width).alias("_bin"))
+        sizes = bins.agg(F.sum("n").alias("count"))
+    joined = salted_join(placed, spread, [*on, "_bin"], split_rows, sizes)
     delay = F.col("target_ts") - F.col("typo_ts")
     return joined.withColumn("delay_s", delay).where(F.col("delay_s").between(low, high)).drop("_bin")
 
@@ -72,14 +78,19 @@ def visible_pairs(
 ) -> DataFrame:
     """Every look-alike lookup with each correct lookup 0..window_s seconds later from the
     same /16, both not hidden by a cached answer."""
+    counts = second_counts(site_log) if counts is None else counts
     rows = visible_lookups(site_log, counts, bin_s).where(F.col("net16").isNotNull())
     typos = _side(rows.where(F.col("suffix") != F.col("target")), "typo", GROUP, records, "suffix")
     targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", GROUP, records)
-    return pair_rows(typos, targets, GROUP, 0, window_s, split_rows)
+    return pair_rows(typos, targets, GROUP, 0, window_s, split_rows, counts)
 
 
 def status_pairs(
-    site_log: DataFrame, statuses: DataFrame, window_s: int = WINDOW_S, split_rows: int = SPLIT_ROWS
+    site_log: DataFrame,
+    statuses: DataFrame,
+    window_s: int = WINDOW_S,
+    split_rows: int = SPLIT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of the listed look-alikes with their existence: 0 < delay <= window_s, same /16,
     cached answers not considered. ``statuses`` has (target, typo, exists).
@@ -90,11 +101,15 @@ def status_pairs(
     listed = statuses.select("target", F.col("typo").alias("suffix"), "exists", dot_count("typo").alias("depth"))
     matched = keyed.join(listed, ["target", "depth", "suffix"])
     typos = _side(matched, "typo", [*GROUP, "exists"], False, "suffix")
-    return pair_rows(typos, targets, GROUP, 1, window_s, split_rows)
+    return pair_rows(typos, targets, GROUP, 1, window_s, split_rows, counts)
 
 
 def near_pairs(
-    site_log: DataFrame, distance: int = 1, window_s: int = WINDOW_S, split_rows: int = SPLIT_ROWS
+    site_log: DataFrame,
+    distance: int = 1,
+    window_s: int = WINDOW_S,
+    split_rows: int = SPLIT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs over all networks whose look-alike is exactly ``distance`` edits from the site:
     0 <= delay < window_s."""
@@ -103,7 +118,7 @@ def near_pairs(
     close = names.where(F.col("distance") == distance)
     typos = _side(rows.join(close, ["target", "suffix"], "left_semi"), "typo", ["target"], False, "suffix")
     targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", ["target"], False)
-    return pair_rows(typos, targets, ["target"], 0, window_s - 1, split_rows)
+    return pair_rows(typos, targets, ["target"], 0, window_s - 1, split_rows, counts)
 
 
 def pair_totals(counts: DataFrame, low: int, high: int, bin_s: int = BIN_S) -> DataFrame:

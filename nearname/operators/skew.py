@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearname.session import small_table
+
 MAX_BROADCAST_ROWS = 1_000_000  # of narrow rows: a name or a hash, some tens of MB
 MAX_HOT_KEYS = 50_000
 SPLIT_ROWS = 1_000_000
@@ -24,14 +26,14 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, most: int = MAX_B
     return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], split_rows: int = SPLIT_ROWS) -> list:
+def hot_keys(counts: DataFrame, on: Sequence[str], split_rows: int = SPLIT_ROWS) -> list:
     """Keys with more than ``split_rows`` rows, and how many pieces each should be cut into.
+    ``counts`` has one row per key with its ``count``.
 
     There can be at most rows/split_rows of them. Should that still be more than the driver
     ought to hold, the threshold is raised; keys below it are then met by adaptive skew
     handling only, and results stay whole in any case.
     """
-    counts = df.groupBy(*on).count()
     while True:
         found = counts.where(F.col("count") > split_rows).limit(MAX_HOT_KEYS + 1).collect()
         if len(found) <= MAX_HOT_KEYS:
@@ -44,21 +46,22 @@ def salted_join(
     small: DataFrame,
     on: Sequence[str],
     split_rows: int = SPLIT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Inner equi-join in which hot keys of ``big`` are cut into pieces.
 
     Rows of a hot key in ``big`` are dealt out over pieces by a hash of the row, and the
     matching rows of ``small`` are repeated once per piece. Without hot keys this is the plain
-    join. Finding them costs one pre-aggregated count over the key columns of ``big``.
+    join. Finding them costs one pre-aggregated count over the key columns of ``big``, or
+    nothing much when the caller has ``sizes``: rows per key as ``count``, or more than that.
     """
     on = list(on)
-    hot = hot_keys(big.select(*on), on, split_rows)
+    hot = hot_keys(big.groupBy(*on).count() if sizes is None else sizes, on, split_rows)
     if not hot:
         return big.join(small, on)
     fields = [big.schema[c] for c in on]
-    spark = big.sparkSession
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _pieces long"
-    table = F.broadcast(spark.createDataFrame(hot, ddl))  # at most MAX_HOT_KEYS rows
+    table = F.broadcast(small_table(big.sparkSession, hot, ddl))  # at most MAX_HOT_KEYS rows
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
     left = big.join(table, on, "left").withColumn(
         "_piece", F.pmod(F.xxhash64(*[c for c in big.columns if not _is_map(big, c)]), pieces)

@@ -19,7 +19,7 @@ from nearname.operators import cluster, existence, extract, fuzzy, pairs, stats,
 from nearname.operators.cache import hidden_lookups
 from nearname.operators.candidates import candidate_hits, typo_candidates
 from nearname.plans.study import condensed
-from nearname.session import work_dir
+from nearname.session import reliable_checkpoint, spread, work_dir
 from nearname.sources.events import log_lines_from_events, lookups_from_events, popular_sites, watched_sites
 from nearname.sources.lists import parse_candidate_lines, parse_features, parse_zone
 from nearname.sources.logs import lookups_of, parse_lines, rejects_of
@@ -37,7 +37,7 @@ def query(run: Query) -> Query:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def site_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,14 +185,14 @@ def candidate_hits_in_log(spark, sf):
 
 @query
 def fuzzy_osa(spark, sf):
-    hosts = page_hosts(spark, sf)
+    hosts = reliable_checkpoint(page_hosts(spark, sf))
     found = fuzzy.fuzzy_pairs(hosts.withColumnRenamed("host", "x"), hosts.withColumnRenamed("host", "y"), "x", "y", 2)
     return fuzzy.names_in_band(found, 1, 2)
 
 
 @query
 def fuzzy_keyboard(spark, sf):
-    hosts = page_hosts(spark, sf)
+    hosts = reliable_checkpoint(page_hosts(spark, sf))
     found = fuzzy.fuzzy_pairs(
         hosts.withColumnRenamed("host", "x"), hosts.withColumnRenamed("host", "y"), "x", "y", 1.5, keyboard=True
     )
@@ -223,21 +223,18 @@ def popular_anti(spark, sf):
 
 @query
 def candidate_lines(spark, sf):
-    found = extract.observed_candidates(site_log(spark, sf), popular_sites(spark))
-    return extract.candidate_lines(found, per_line=10_000)
+    return extract.candidate_lines(_observed(spark, site_log(spark, sf)), per_line=10_000)
 
 
 @query
 def candidate_lines_read(spark, sf):
-    found = extract.observed_candidates(site_log(spark, sf), popular_sites(spark))
-    return parse_candidate_lines(extract.candidate_lines(found, per_line=7))
+    return parse_candidate_lines(extract.candidate_lines(_observed(spark, site_log(spark, sf)), per_line=7))
 
 
 @query
 def extract_typo_lookups(spark, sf):
     log = site_log(spark, sf)
-    listed = extract.observed_candidates(log, popular_sites(spark))
-    return extract.lookalike_lookups(log, listed).select("lookup_id", "target", "typo")
+    return extract.lookalike_lookups(log, _observed(spark, log)).select("lookup_id", "target", "typo")
 
 
 @query
@@ -276,13 +273,20 @@ def pair_lines_v1(spark, sf):
 def _statuses(log: DataFrame, counts: DataFrame, spark: SparkSession) -> DataFrame:
     rated = stats.pair_ratios(counts, popular_sites(spark))
     listed = rated.select("target", F.col("typo").alias("candidate"))
-    return existence.exists_by_rules(extract.lookalike_lookups(log, listed))
+    listed = reliable_checkpoint(listed)
+    return reliable_checkpoint(existence.exists_by_rules(extract.lookalike_lookups(log, listed)))
+
+
+def _observed(spark: SparkSession, log: DataFrame) -> DataFrame:
+    # The candidate list is read several times; the log should not be.
+    return reliable_checkpoint(extract.observed_candidates(log, popular_sites(spark)))
 
 
 @query
 def pairs_status(spark, sf):
     log = site_log(spark, sf)
-    found = pairs.status_pairs(log, _statuses(log, condensed(log), spark))
+    counts = condensed(log)
+    found = pairs.status_pairs(log, _statuses(log, counts, spark), counts=counts)
     return found.select("typo", "typo_ts", "typo_id", "target", "target_ts", "target_id", "net16", "exists")
 
 
@@ -314,8 +318,7 @@ def exists_by_ttl(spark, sf):
 @query
 def exists_by_rules(spark, sf):
     log = site_log(spark, sf)
-    listed = extract.observed_candidates(log, popular_sites(spark))
-    return existence.exists_by_rules(extract.lookalike_lookups(log, listed))
+    return existence.exists_by_rules(extract.lookalike_lookups(log, _observed(spark, log)))
 
 
 @query
@@ -385,7 +388,7 @@ def _near_seconds(spark: SparkSession, sf: str) -> DataFrame:
     # Sources of the derived log rarely ask twice in a minute; the /16 stands for the source.
     log = site_log(spark, sf)
     nets = log.withColumn("src_ip", F.coalesce(N.net16("src_ip"), F.col("src_ip")))
-    return transitions.near_name_seconds(nets)
+    return reliable_checkpoint(transitions.near_name_seconds(nets))
 
 
 @query

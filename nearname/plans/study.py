@@ -55,10 +55,10 @@ def study(
     instead of the log. Only existence by rules goes back to the rows it needs.
     """
     counts = condensed(site_log)
-    candidates = observed_candidates(site_log, popular)
+    candidates = reliable_checkpoint(observed_candidates(site_log, popular))
     ratios = reliable_checkpoint(pair_ratios(counts, popular, window_s))
     listed = ratios.select("target", F.col("typo").alias("candidate"))
-    exists = exists_by_rules(lookalike_lookups(site_log, listed), order)
+    exists = reliable_checkpoint(exists_by_rules(lookalike_lookups(site_log, listed), order))
     rated = with_status(ratios, exists)
     statuses = rated.select("target", "typo", (F.col("status") == "yes").alias("exists"))
     stats = typo_stats(counts, window_s)

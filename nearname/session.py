@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # What the jobs expect of a session; a cluster sets the same keys in its own defaults.
 RECOMMENDED = {
@@ -47,7 +51,26 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df):
+def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A table made of a few rows the driver holds. Handed over as Arrow, it becomes a local
+    relation of exactly known size that the optimizer can fold."""
+    schema = T.StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
+    arrow = to_arrow_schema(schema)
+    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over the cores when the files would give work to only a few of them.
+
+    Meant for small tables in few files; a table with enough files is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and read it back, cutting its lineage.
 
     A written table survives the loss of any executor, and its true size is known to the

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from nearname.functions.names import with_dot
 from nearname.schema import RATIO, RATIO_STATUS, STATUS_PAIR, TYPO_STATS
+from nearname.session import small_table
 from nearname.sources.logs import lookups_of, parse_lines
 
 
 def site_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """Watch-list given as names in rank order."""
     rows = [(rank, name) for rank, name in enumerate(names, start=1)]
-    return spark.createDataFrame(rows, "rank int, name string").select("rank", with_dot(F.lower("name")).alias("site"))
+    return small_table(spark, rows, "rank int, name string").select("rank", with_dot(F.lower("name")).alias("site"))
 
 
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
