@@ -8,132 +8,100 @@ Everything is a row-wise expression over the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearname.functions.once import once
 from nearname.functions.records import export_line
-from nearname.schema import RR
 from nearname.sources.lists import site_table
 
 # The watched sites in rank order, and the names that count as popular.
 SITES = ["google.com", "wikipedia.org", "bbc.co.uk", "stackoverflow.com"]
 POPULAR = [*SITES, "gogle.com", "wikpiedia.org", "example.org"]
 
-_EMPTY = "array<struct<owner:string,ttl:string,rclass:string,rtype:string,rdata:string>>"
+_RECORDS = "array<struct<owner:string,ttl:string,rclass:string,rtype:string,rdata:string>>"
 
 
-def watched_sites(spark: SparkSession) -> DataFrame:
-    return site_table(spark, SITES)
+def _rr(owner: str, ttl: str, rtype: str, rdata: str) -> str:
+    return (
+        f"named_struct('owner', {owner}, 'ttl', string({ttl}), 'rclass', 'IN', 'rtype', '{rtype}', 'rdata', {rdata})"
+    )
 
 
-def popular_sites(spark: SparkSession) -> DataFrame:
-    return site_table(spark, POPULAR)
+def _array(*records: str) -> str:
+    return f"cast(array({', '.join(records)}) AS {_RECORDS})"
+
+
+_OWN = _rr("qname", "v", "A", "'192.0.2.' || (u % 250)")
+_ALIAS = _rr("'alias.' || qname", "30", "CNAME", "qname")
+_MAIL = _rr("qname", "v", "MX", "'10 mail.' || qname")
+_OWN_SERVER = _rr("target", "172800", "NS", "'ns1.' || target")
+_REGISTRY_START = _rr("'com.'", "900", "SOA", "'a.gtld-servers.net.;nstld.example.net.;2024'")
+_REGISTRY_SERVER = _rr("'com.'", "172800", "NS", "'b.gtld-servers.net.'")
+_OTHER_SERVER = _rr("target", "172800", "NS", "'ns9.parking.example.net.'")
+_GLUE = _rr("'ns1.' || target", "300", "A", "'192.0.2.1'")
+_LATE = _rr("qname", "v + 1", "A", "'192.0.2.2'")
+
+# Names by kind of event; p is the place of the letter that is dropped or swapped.
+_QNAME = """CASE k
+    WHEN 'click' THEN target
+    WHEN 'error' THEN concat(substr(target, 1, p - 1), substr(target, p + 1))
+    WHEN 'view' THEN concat(substr(target, 1, p - 1), substr(target, p + 1, 1), substr(target, p, 1), substr(target, p + 2))
+    WHEN 'signup' THEN concat(CASE u % 3 WHEN 0 THEN 'www.' WHEN 1 THEN 'w.' ELSE 'a.www.' END, target)
+    ELSE CASE WHEN u % 4 = 0 THEN replace(target, '.com.', '.ocm.') ELSE concat('cdn', u, '.example.net.') END
+  END"""
+_ANSWERED = """CASE k WHEN 'click' THEN e % 5 <> 0 WHEN 'signup' THEN e % 2 = 0 WHEN 'purchase' THEN false
+    ELSE u % 2 = 0 AND e % 3 = 0 END"""
+_ANSWER = f"""CASE WHEN answered AND e % 7 = 1 THEN {_array(_ALIAS, _OWN)} WHEN answered THEN {_array(_OWN)}
+    WHEN k = 'view' AND u % 4 = 3 AND e % 6 = 0 THEN {_array(_MAIL)} ELSE {_array()} END"""
+_AUTHORITY = f"""CASE WHEN answered AND e % 3 = 0 THEN {_array(_OWN_SERVER)} WHEN answered THEN {_array()}
+    WHEN k = 'error' AND u % 4 = 1 AND e % 2 = 0 THEN {_array(_REGISTRY_START)}
+    WHEN k = 'view' AND u % 4 = 1 THEN {_array(_REGISTRY_SERVER, _OTHER_SERVER)}
+    WHEN e % 3 = 0 THEN {_array()} ELSE {_array(_OTHER_SERVER, _REGISTRY_SERVER)} END"""
+_ADDITIONAL = f"""CASE WHEN k = 'purchase' AND e % 9 = 0 THEN {_array(_GLUE, _LATE)}
+    WHEN e % 6 = 0 THEN {_array(_GLUE)} ELSE {_array()} END"""
 
 
-def _epoch_minutes(ts: Column) -> Column:
-    # Built from calendar parts: right for zone-less timestamps under any session time zone.
-    minutes = F.unix_date(F.to_date(ts)).cast("bigint") * 1440
-    return minutes + F.hour(ts) * 60 + F.minute(ts)
+def watched_sites(spark: SparkSession) -> DataFrame:
+    return site_table(spark, SITES)
 
 
-def _records(*rows: tuple) -> Column:
-    names = RR.fieldNames()
-    structs = [
-        F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("string").alias(n) for n, v in zip(names, row)])
-        for row in rows
-    ]
-    return F.array(*structs).cast(_EMPTY)
+def popular_sites(spark: SparkSession) -> DataFrame:
+    return site_table(spark, POPULAR)
 
 
 def lookups_from_events(events: DataFrame) -> DataFrame:
-    """Lookups with ``lookup_id`` and the watched site ``target`` each belongs to."""
-    e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    at = (u % 4 + 2).cast("int")
-    sites = F.array(*[F.lit(s + ".") for s in SITES])
-    site = F.get(sites, (e % len(SITES)).cast("int"))
-
-    dropped = F.concat(F.substring(site, F.lit(1), at - 1), F.substring(site, at + 1, F.length(site)))
-    swapped = F.concat(
-        F.substring(site, F.lit(1), at - 1),
-        F.substring(site, at + 1, F.lit(1)),
-        F.substring(site, at, F.lit(1)),
-        F.substring(site, at + 2, F.length(site)),
-    )
-    sub = (
-        F.when(u % 3 == 0, F.concat(F.lit("www."), site))
-        .when(u % 3 == 1, F.concat(F.lit("w."), site))
-        .otherwise(F.concat(F.lit("a.www."), site))
-    )
-    other = F.when(u % 4 == 0, F.replace(site, F.lit(".com."), F.lit(".ocm."))).otherwise(
-        F.concat(F.lit("cdn"), u.cast("string"), F.lit(".example.net."))
-    )
-    qname = (
-        F.when(kind == "click", site)
-        .when(kind == "error", dropped)
-        .when(kind == "view", swapped)
-        .when(kind == "signup", sub)
-        .otherwise(other)
-    )
-    src = F.when(u % 11 == 0, F.concat(F.lit("2001:db8::"), u.cast("string"))).otherwise(
-        F.concat_ws(".", F.lit("10"), (u % 8).cast("string"), (u % 250).cast("string"), (e % 200).cast("string"))
-    )
-    base = events.select(
-        e.alias("lookup_id"),
-        _epoch_minutes(F.col("ts")).alias("ts"),
-        F.lit(0).alias("typ"),
-        src.alias("src_ip"),
-        F.concat(F.lit("192.0.2."), (u % 5).cast("string")).alias("dst_ip"),
-        qname.alias("qname"),
-        F.when(e % 7 == 0, 28).otherwise(1).alias("qtype"),
-        F.when(kind == "purchase", 3).otherwise(0).alias("rcode"),
-        site.alias("target"),
-        F.floor("value").cast("bigint").alias("_v"),
-        u.alias("_u"),
-        kind.alias("_k"),
-    )
+    """Lookups with ``lookup_id`` and the watched site ``target`` each belongs to.
 
-    base = once(base, "qname", F.col("qname"))
-    e, u, kind, v = F.col("lookup_id"), F.col("_u"), F.col("_k"), F.col("_v")
-    name, site = F.col("qname"), F.col("target")
-    answered = (
-        F.when(kind == "click", e % 5 != 0)
-        .when(kind.isin("error", "view"), (u % 2 == 0) & (e % 3 == 0))
-        .when(kind == "signup", e % 2 == 0)
-        .otherwise(F.lit(False))
-    )
-    own = (name, v, "IN", "A", F.concat(F.lit("192.0.2."), (u % 250).cast("string")))
-    alias = (F.concat(F.lit("alias."), name), 30, "IN", "CNAME", name)
-    mail = (name, v, "IN", "MX", F.concat(F.lit("10 mail."), name))
-    none = F.array().cast(_EMPTY)
-    answer = (
-        F.when(answered & (e % 7 == 1), _records(alias, own))
-        .when(answered, _records(own))
-        .when((kind == "view") & (u % 4 == 3) & (e % 6 == 0), _records(mail))
-        .otherwise(none)
-    )
-    registry_soa = ("com.", 900, "IN", "SOA", "a.gtld-servers.net.;nstld.example.net.;2024")
-    registry_ns = ("com.", 172800, "IN", "NS", "b.gtld-servers.net.")
-    other_ns = (site, 172800, "IN", "NS", "ns9.parking.example.net.")
-    authority = (
-        F.when(answered & (e % 3 == 0), _records((site, 172800, "IN", "NS", F.concat(F.lit("ns1."), site))))
-        .when(answered, none)
-        .when((kind == "error") & (u % 4 == 1) & (e % 2 == 0), _records(registry_soa))
-        .when((kind == "view") & (u % 4 == 1), _records(registry_ns, other_ns))
-        .when(e % 3 == 0, none)
-        .otherwise(_records(other_ns, registry_ns))
+    Times come from calendar parts, which is right for zone-less timestamps under any session
+    time zone.
+    """
+    sites = ", ".join(f"'{s}.'" for s in SITES)
+    base = events.selectExpr(
+        "event_id AS e",
+        "user_id AS u",
+        "event_type AS k",
+        "bigint(floor(value)) AS v",
+        "int(user_id % 4 + 2) AS p",
+        "bigint(unix_date(date(ts))) * 1440 + hour(ts) * 60 + minute(ts) AS ts",
+        f"array({sites})[int(event_id % {len(SITES)})] AS target",
     )
-    glue = (F.concat(F.lit("ns1."), site), 300, "IN", "A", "192.0.2.1")
-    late = (name, v + 1, "IN", "A", "192.0.2.2")
-    additional = (
-        F.when((kind == "purchase") & (e % 9 == 0), _records(glue, late))
-        .when(e % 6 == 0, _records(glue))
-        .otherwise(none)
+    named = once(base, "qname", F.expr(_QNAME)).selectExpr("*", f"{_ANSWERED} AS answered")
+    return named.selectExpr(
+        "e AS lookup_id",
+        "ts",
+        "0 AS typ",
+        """CASE WHEN u % 11 = 0 THEN concat('2001:db8::', u)
+           ELSE concat_ws('.', '10', u % 8, u % 250, e % 200) END AS src_ip""",
+        "concat('192.0.2.', u % 5) AS dst_ip",
+        "qname",
+        "CASE WHEN e % 7 = 0 THEN 28 ELSE 1 END AS qtype",
+        "CASE WHEN k = 'purchase' THEN 3 ELSE 0 END AS rcode",
+        f"{_ANSWER} AS answer",
+        f"{_AUTHORITY} AS authority",
+        f"{_ADDITIONAL} AS additional",
+        "target",
     )
-    return base.select(
-        "lookup_id", "ts", "typ", "src_ip", "dst_ip", "qname", "qtype", "rcode",
-        answer.alias("answer"), authority.alias("authority"), additional.alias("additional"), "target",
-    )
 
 
 def log_lines_from_events(events: DataFrame) -> DataFrame:

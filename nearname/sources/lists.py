@@ -25,7 +25,7 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     ``wholetext`` makes one row of the file, so ranks follow the lines whatever the file
     size the planner would split at. A watch-list is a hand-kept file of some thousand names.
     """
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "name"))
     return lines.where(F.col("name") != "").select(
         (F.col("pos") + 1).alias("rank"), with_dot(F.lower("name")).alias("site")
