@@ -25,8 +25,13 @@ from nearname.sources.sinks import write_table_by
 def build_site_logs(
     spark: SparkSession, paths: str | Sequence[str], sites: DataFrame, out: str, mode: str = "append", **options
 ) -> DataFrame:
-    """Raw logs to the table of lookups by site, written once and read by every report."""
-    matched = assign_sites(read_logs(spark, paths, **options), sites)
+    """Raw logs to the table of lookups by site, written once and read by every report.
+
+    The parsed lookups are written first: matching reads the names alone and then the rows,
+    and text is parsed only once.
+    """
+    lookups = reliable_checkpoint(read_logs(spark, paths, **options))
+    matched = assign_sites(lookups, sites)
     write_table_by(matched, ["target"], out, mode)
     return spark.read.parquet(out)
 
@@ -48,6 +53,8 @@ def study(
     popular: DataFrame,
     window_s: int = WINDOW_S,
     order: tuple[str, ...] = ("ts", "lookup_id"),
+    min_ratio: float = 0.1,
+    min_pair_ratio: float = 0.2,
 ) -> Study:
     """All reports of a site log.
 
@@ -56,7 +63,7 @@ def study(
     """
     counts = condensed(site_log)
     candidates = reliable_checkpoint(observed_candidates(site_log, popular))
-    ratios = reliable_checkpoint(pair_ratios(counts, popular, window_s))
+    ratios = reliable_checkpoint(pair_ratios(counts, popular, window_s, min_ratio))
     listed = ratios.select("target", F.col("typo").alias("candidate"))
     exists = reliable_checkpoint(exists_by_rules(lookalike_lookups(site_log, listed), order))
     rated = with_status(ratios, exists)
@@ -67,7 +74,7 @@ def study(
         candidates=candidates,
         ratios=rated,
         stats=stats,
-        summary=summary_by_exists(stats),
+        summary=summary_by_exists(stats, min_pair_ratio),
         delays=delay_by_exists(counts, statuses, window_s),
     )
 

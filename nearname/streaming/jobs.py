@@ -37,11 +37,13 @@ def ingest_by_site(
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        lookups = lookups_of(parse_lines(batch))
+        # Read for the names and again for the rows: parsed once.
+        lookups = lookups_of(parse_lines(batch)).persist()
         matched = assign_sites(lookups, sites, max_distance)
         salt = F.pmod(F.xxhash64("ts", "src_ip", "qname"), F.lit(pieces))
         spread = matched.repartition(F.col("target"), salt)
         spread.write.mode("overwrite").partitionBy("target").parquet(f"{out}/round={batch_id}")
+        lookups.unpersist()
 
     return (
         lines.writeStream.foreachBatch(add)

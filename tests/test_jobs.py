@@ -108,8 +108,9 @@ def test_study_from_raw_files(spark, tmp_path):
     lines.select("line").write.option("compression", "gzip").text(str(tmp_path / "raw"))
     site_log = build_site_logs(spark, str(tmp_path / "raw"), watched_sites(spark), str(tmp_path / "sites"))
     assert {r["target"] for r in site_log.select("target").distinct().collect()} == {f"{s}." for s in SITES}
-    done = study(site_log, popular_sites(spark), order=("ts", "src_ip", "qname", "qtype"))
-    assert done.ratios.where("status is null").count() == 0 and done.ratios.count() > 0
+    done = study(site_log, popular_sites(spark), order=("ts", "src_ip", "qname", "qtype"), min_ratio=0.02, min_pair_ratio=0.01)
+    # A look-alike seen only as the tail of deeper names has no lookups to judge it by.
+    assert {r["status"] for r in done.ratios.collect()} >= {"yes", "no"}
     assert {r["exists"] for r in done.summary.collect()} == {True, False}
     assert {r["exists"] for r in done.delays.collect()} == {True, False}
     assert done.stats.where("mean_delay < 0 or mean_delay > 60").count() == 0
