@@ -90,10 +90,18 @@ def delay_by_exists(counts: DataFrame, statuses: DataFrame, window_s: int = WIND
     )
 
 
-def summary_sentences(summary: DataFrame, count: str = "pairs") -> DataFrame:
-    """The two-line text report."""
-    kind = F.when(F.col("exists"), F.lit("For existed domain")).otherwise(F.lit("For non-existed domain"))
-    text = F.format_string("%s, there are %d records, average time is %s", kind, F.col(count), F.col("mean_delay"))
+def summary_sentences(summary: DataFrame) -> DataFrame:
+    """The two-line text report of either summary; the one by look-alikes names their number."""
+    # The wording of the two reports.
+    by_pairs = "For %s domain, there are %d records, average time is %s"
+    by_lookalikes = (
+        "For %s typo domain, there are %d pairs of typo and target website, %d records. The average time is %s."
+    )
+    kind = F.when(F.col("exists"), F.lit("existed")).otherwise(F.lit("non-existed"))
+    if "lookalikes" in summary.columns:
+        text = F.format_string(by_lookalikes, kind, "lookalikes", "pairs", "mean_delay")
+    else:
+        text = F.format_string(by_pairs, kind, "pairs", "mean_delay")
     return summary.select("exists", text.alias("line"))
 
 

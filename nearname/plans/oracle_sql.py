@@ -305,6 +305,9 @@ FROM log x JOIN osa ON x.suffix = a AND x.target = b AND d = 1 JOIN log y ON y.t
         "ratio_status": f"WITH {tagged},{RATIOS},{RULES} SELECT ratios.target, ratios.typo, round(ratio, 6) AS ratio, join_count, single_count, CASE WHEN exists THEN 'yes' WHEN NOT exists THEN 'no' END AS status FROM ratios LEFT JOIN ruled USING (target, typo)",
         "typo_stats": f"WITH {tagged},{STATS} SELECT * REPLACE (round(mean_delay, 6) AS mean_delay) FROM tstats",
         "summary_by_exists": f"WITH {tagged},{STATS} SELECT exists, count(*) AS lookalikes, sum(pair_count)::bigint AS pairs, round(sum(pair_count * mean_delay) / sum(pair_count), 6) AS mean_delay FROM tstats WHERE pair_count / single_count::double > 0.2 GROUP BY exists",
+        "summary_sentences": f"""WITH {tagged},{STATS}, s AS (SELECT exists, count(*) AS k, sum(pair_count)::bigint AS pairs, round(sum(pair_count * mean_delay) / sum(pair_count), 3) AS m
+  FROM tstats WHERE pair_count / single_count::double > 0.2 GROUP BY exists)
+SELECT exists, CASE WHEN exists THEN 'For existed' ELSE 'For non-existed' END || ' typo domain, there are ' || k || ' pairs of typo and target website, ' || pairs || ' records. The average time is ' || m || '.' AS line FROM s""",
         "delay_by_exists": f"WITH {delays} SELECT exists, pairs, round(m, 6) AS mean_delay FROM delays",
         "delay_sentences": f"WITH {delays} SELECT exists, CASE WHEN exists THEN 'For existed domain' ELSE 'For non-existed domain' END || ', there are ' || pairs || ' records, average time is ' || round(m, 3) AS line FROM delays",
         "pending_lookalikes": f"WITH {tagged},{RATIOS} SELECT target, typo FROM unpopular WHERE (target, typo) NOT IN (SELECT (target, typo) FROM ratios)",

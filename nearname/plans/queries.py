@@ -353,6 +353,12 @@ def delay_sentences(spark, sf):
     return stats.summary_sentences(rounded(stats.delay_by_exists(counts, _statuses(log, counts, spark)), "mean_delay", digits=3))
 
 
+@query
+def summary_sentences(spark, sf):
+    summary = stats.summary_by_exists(stats.typo_stats(condensed(site_log(spark, sf))))
+    return stats.summary_sentences(rounded(summary, "mean_delay", digits=3))
+
+
 @query
 def pending_lookalikes(spark, sf):
     """Look-alikes of the candidate list that got no ratio row."""

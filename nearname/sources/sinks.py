@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from nearname.functions.records import export_line
 
 
-def _spread(df: DataFrame, by: Sequence[str], pieces: int) -> DataFrame:
-    """Bring rows of a folder together in at most ``pieces`` tasks, so that few files are
-    written per folder and no folder depends on a single task."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(pieces))
-    return df.repartition(*[F.col(c) for c in by], salt)
+def _gathered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of a folder brought together, so that few files are written per folder.
+
+    Adaptive execution cuts a folder with very many rows into several tasks of the advisory
+    partition size and joins small ones.
+    """
+    return df.hint("rebalance", *by)
 
 
 def write_lines(lookups: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -28,28 +30,28 @@ def write_lines(lookups: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_lines_by(
-    lookups: DataFrame, by: Sequence[str], path: str, mode: str = "append", pieces: int = 8, compression: str = "gzip"
+    lookups: DataFrame, by: Sequence[str], path: str, mode: str = "append", compression: str = "gzip"
 ) -> None:
     """Log lines in one folder per value of ``by``, e.g. per site or per (site, look-alike)."""
     rows = lookups.select(*by, export_line().alias("value"))
-    _spread(rows, by, pieces).write.mode(mode).option("compression", compression).partitionBy(*by).text(path)
+    _gathered(rows, by).write.mode(mode).option("compression", compression).partitionBy(*by).text(path)
 
 
-def write_table_by(df: DataFrame, by: Sequence[str], path: str, mode: str = "append", pieces: int = 8) -> None:
+def write_table_by(df: DataFrame, by: Sequence[str], path: str, mode: str = "append") -> None:
     """Typed rows in one Parquet folder per value of ``by``; later readers prune on it."""
-    _spread(df, by, pieces).write.mode(mode).partitionBy(*by).parquet(path)
+    _gathered(df, by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def write_status_pairs(pairs: DataFrame, path: str, mode: str = "overwrite", pieces: int = 8) -> None:
+def write_status_pairs(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Status pairs as CSV under ``status=existed`` and ``status=nonexisted``."""
     status = F.when(F.col("exists"), F.lit("existed")).otherwise(F.lit("nonexisted"))
     rows = pairs.withColumn("status", status).select(
         "status", "typo", "typo_ts", "target", "target_ts", "net16"
     )
-    _spread(rows, ["status"], pieces).write.mode(mode).partitionBy("status").csv(path)
+    _gathered(rows, ["status"]).write.mode(mode).partitionBy("status").csv(path)
 
 
-def split_lists_by_first(lines: DataFrame, path: str, line: str = "line", mode: str = "overwrite", pieces: int = 8) -> None:
+def split_lists_by_first(lines: DataFrame, path: str, line: str = "line", mode: str = "overwrite") -> None:
     """A file of ``target name name ...`` lines cut into one folder per target.
 
     Lines without a second name give no output.
@@ -58,7 +60,7 @@ def split_lists_by_first(lines: DataFrame, path: str, line: str = "line", mode:
     rows = lines.where(F.size(names) > 1).select(
         F.get(names, F.lit(0)).alias("target"), F.trim(F.col(line)).alias("value")
     )
-    _spread(rows, ["target"], pieces).write.mode(mode).partitionBy("target").text(path)
+    _gathered(rows, ["target"]).write.mode(mode).partitionBy("target").text(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
