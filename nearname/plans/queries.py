@@ -502,7 +502,7 @@ def stream_ingest_by_site(spark, sf):
 def stream_pairs(spark, sf):
     """Pairs found while the log streams in, cached answers not considered."""
     schema = table(spark, sf, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    reader = jobs.state_session(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     typos, targets = jobs.split_site_stream(lookups_from_events(reader.parquet(sf)))
     found = jobs.stream_pairs(typos, targets, keep=["lookup_id"])
     out = work_dir(spark, "pairs")

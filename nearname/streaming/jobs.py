@@ -16,6 +16,21 @@ from nearname.sources.logs import lookups_of, parse_lines
 FILES_PER_ROUND = 4
 
 
+def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A sibling session for a stateful stream with one state partition per core.
+
+    The number of state partitions is fixed when a stream first starts, so it should follow
+    the cluster and not the batch default of the calling session, which stays as it is.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.sparkContext.defaultParallelism))
+    for key in ("spark.sql.session.timeZone", "spark.checkpoint.dir"):
+        value = spark.conf.get(key, None)
+        if value and session.conf.get(key, None) != value:
+            session.conf.set(key, value)
+    return session
+
+
 def log_stream(
     spark: SparkSession, path: str, files_per_round: int = FILES_PER_ROUND, name_glob: str | None = None
 ) -> DataFrame:
