@@ -165,3 +165,15 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     mixed = mix(narrow.withColumn("_members", F.array("source")), "_members", "size", ["doc_id", "_text"], seed=seed)
     same = mixed["source"].eqNullSafe(table["source"])
     return mixed.join(F.broadcast(table), same).select("doc_id", "size", "source_size", "target", "taken", mixed["source"].alias("source"), "credited")
+
+
+def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The documents of the mix: each as often as the words taken of it come to whole passes,
+    rounded to the nearest. Columns stay as they are; documents without words are not taken."""
+    rows = reliable_checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()))
+    narrow = rows.select("_row", "doc_id", F.array("source").alias("_members"), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_text"))
+    mixed = mix(reliable_checkpoint(narrow), "_members", "_size", ["doc_id", "_text"], seed=seed)
+    passes = F.floor(F.col("taken") / F.col("_size") + 0.5).cast("int")
+    copies = mixed.where(F.col("taken") > 0).select("_row", passes.alias("_n")).where("_n > 0")
+    found = rows.join(reliable_checkpoint(copies), "_row")
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_pass")).select(*docs.columns)

@@ -81,8 +81,8 @@ def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, b
     )
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
-    """Every document's bucket and batch by its number of words; null text has length 0. Equal
-    rows are interchangeable."""
-    narrow = docs.select("doc_id", word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("_text"))
-    return pack(reliable_checkpoint(narrow), "n_words", ["doc_id", "_text"]).drop("_text")
+def pack_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Every document's bucket and batch by its number of words, with the ``keep`` columns; null
+    text has length 0. Equal rows are interchangeable."""
+    narrow = docs.select(*keep, word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("_text"))
+    return pack(reliable_checkpoint(narrow), "n_words", [keep[0], "_text"]).drop("_text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearname.llm import exact_dedup, mixing, packing, sharding, simhash
+from nearname.llm import ann, exact_dedup, language, mixing, packing, secrets, sharding, simhash, tool_calls, wrappers
 from nearname.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,28 @@ def op7_exact_dedup(spark, sf_dir):
 @query
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicate_table(documents(spark, sf_dir))
+
+
+@query
+def op2_kmeans_tree_search(spark, sf_dir):
+    return ann.search_embeddings(documents(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_language(spark, sf_dir):
+    return language.language_table(documents(spark, sf_dir))
+
+
+@query
+def op5_wrappers(spark, sf_dir):
+    return wrappers.extract_pages(documents(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    return secrets.secret_table(documents(spark, sf_dir))
+
+
+@query
+def op9_tool_calls(spark, sf_dir):
+    return tool_calls.linked_conversations(documents(spark, sf_dir, "conversations"))
