@@ -25,8 +25,8 @@ SAMPLE = 16_384
 BRANCHES = 8
 LEAF_SAMPLE = 24
 TRIALS = 128
-RECALL = 0.97
-PIECE = 4096
+RECALL = 0.95
+MEMBERS, ASKERS = 8192, 512  # vectors and queries that meet in one task
 
 
 @dataclass
@@ -99,6 +99,24 @@ def grow(sample: np.ndarray, branches: int = BRANCHES, leaf: int = LEAF_SAMPLE,
     return tree
 
 
+def binned(tree: Tree, sizes: dict[int, int], members: int = MEMBERS) -> list[tuple[int, int, int]]:
+    """(leaf, bin, pieces): leaves in the order of the tree, gathered until a bin holds ``members``
+    vectors; a leaf with more has a bin of its own, dealt over pieces."""
+    order, todo = [], [0]
+    while todo:
+        node = todo.pop()
+        todo += reversed(tree.children[node])
+        if sizes.get(node):
+            order.append(node)
+    bins, number, held = [], 0, 0
+    for leaf in order:
+        if held and held + sizes[leaf] > members:
+            number, held = number + 1, 0
+        held += sizes[leaf]
+        bins.append((leaf, number, -(-sizes[leaf] // members)))
+    return bins
+
+
 def usable(vec: Column) -> Column:
     """Not null, all components finite, not all zero."""
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -119,9 +137,12 @@ def _best(scores: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
     return [np.lexsort((least, -row))[:k] for row in scores]
 
 
-def _scored(queries: np.ndarray, reps: np.ndarray, rows: np.ndarray, columns: dict[str, np.ndarray], k: int) -> pa.Table:
+def _scored(queries: np.ndarray, reps: np.ndarray, rows: np.ndarray, columns: dict[str, np.ndarray], k: int, visited: np.ndarray | None = None) -> pa.Table:
+    """The k best rows of each query, of those it visits."""
     scores = queries @ rows.T
-    best = _best(scores, columns["least"], k)
+    if visited is not None:
+        scores[~visited] = -np.inf
+    best = [c[scores[i, c] > -np.inf] for i, c in enumerate(_best(scores, columns["least"], k))]
     at = np.concatenate(best) if best else np.zeros(0, dtype="int64")
     which = np.repeat(np.arange(len(best)), [len(b) for b in best])
     return pa.table({"q": reps[which], **{n: c[at] for n, c in columns.items()}, "score": scores[which, at]})
@@ -163,32 +184,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     queries = reliable_checkpoint(filed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vec"))
     leaves = calibrated(filed, queries, tree, sizes, k, recall)
 
+    # Neighbouring leaves are searched together, so a query sends one row to each bin it meets.
+    bins = binned(tree, sizes)
+    bin_of = {leaf: number for leaf, number, _ in bins}
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                rows = _matrix(b.column(1))
-                found = [shared.value.visit(q, leaves, sizes, k + 1) for q in rows]
-                index = pa.array(np.repeat(np.arange(len(rows)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(index), b.column(1).take(index), pa.array(np.concatenate(found), pa.int64())], ["q", "qvec", "leaf"])
+            met: list[tuple[int, int, list[int]]] = []
+            for i, q in enumerate(_matrix(b.column(1)) if b.num_rows else []):
+                by_bin: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(q, leaves, sizes, k + 1):
+                    by_bin.setdefault(bin_of[leaf], []).append(leaf)
+                met += [(i, number, found) for number, found in by_bin.items()]
+            index = pa.array([m[0] for m in met], pa.int64())
+            added = [pa.array([m[1] for m in met], pa.int64()), pa.array([m[2] for m in met], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(index), b.column(1).take(index), *added], ["q", "qvec", "bin", "leaves"])
 
     # The walk is the work, so queries are dealt evenly first.
-    walks = queries.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(walk, "q long, qvec array<double>, leaf long")
+    walks = queries.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(walk, "q long, qvec array<double>, bin long, leaves array<long>")
     walks = reliable_checkpoint(walks)
-    pieces = filed.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE).alias("mp")).join(walks.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE).alias("qp")), "leaf")
-    pieces = reliable_checkpoint(pieces)  # one row per leaf
+    table = F.broadcast(spark.createDataFrame(bins, "leaf long, bin long, mp long"))  # one row per leaf, made here
+    parts = table.groupBy("bin").agg(F.max("mp").alias("mp")).join(walks.groupBy("bin").agg(F.ceil(F.count("*") / ASKERS).alias("qp")), "bin")
+    parts = reliable_checkpoint(parts)  # one row per bin
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    members = filed.join(pieces, "leaf").withColumn("m", F.pmod(F.xxhash64("rep"), "mp")).withColumn("p", every("qp"))
-    askers = walks.join(pieces, "leaf").withColumn("p", F.pmod(F.xxhash64("q"), "qp")).withColumn("m", every("mp"))
-    cell = ["leaf", "m", "p"]
+    members = filed.join(table.select("leaf", "bin"), "leaf").join(parts, "bin").withColumn("m", F.pmod(F.xxhash64("rep"), "mp")).withColumn("p", every("qp"))
+    askers = walks.join(parts, "bin").withColumn("p", F.pmod(F.xxhash64("q"), "qp")).withColumn("m", every("mp"))
+    cell = ["bin", "m", "p"]
 
     def meet(asking: pa.Table, held: pa.Table) -> pa.Table:
         if not asking.num_rows or not held.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("q", pa.int64()), ("rep", pa.int64()), ("least", pa.int64()), ("score", pa.float64()))})
         columns = {n: held.column(n).to_numpy() for n in ("rep", "least")}
+        names, at = np.unique(held.column("leaf").to_numpy(), return_inverse=True)
+        wanted = np.zeros((asking.num_rows, len(names)), dtype=bool)
+        for row, found in zip(wanted, asking.column("leaves").to_pylist()):
+            row[np.searchsorted(names, [x for x in found if x in names])] = True
         rows = _matrix(held.column("vec").combine_chunks())
-        return _scored(_matrix(asking.column("qvec").combine_chunks()), asking.column("q").to_numpy(), rows, columns, k + 1)
+        queries, reps = _matrix(asking.column("qvec").combine_chunks()), asking.column("q").to_numpy()
+        return pa.concat_tables([_scored(queries[i : i + 128], reps[i : i + 128], rows, columns, k + 1, wanted[i : i + 128][:, at]) for i in range(0, len(reps), 128)])
 
-    met = askers.select(*cell, "q", "qvec").groupBy(*cell).cogroup(members.select(*cell, "rep", "least", "vec").groupBy(*cell))
+    met = askers.select(*cell, "q", "qvec", "leaves").groupBy(*cell).cogroup(members.select(*cell, "rep", "least", "leaf", "vec").groupBy(*cell))
     scored = met.applyInArrow(meet, "q long, rep long, least long, score double")
     nearest = Window.partitionBy("q").orderBy(F.desc("score"), "least")
     top = reliable_checkpoint(scored.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k + 1).select("q", "rep", "score"))
