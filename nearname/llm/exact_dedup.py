@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from nearname.llm.common import one_space
 from nearname.session import reliable_checkpoint
 
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 16 << 20
+SLICE = 1024  # rows turned into Python objects at a time
 FANOUT = 16
 LEVELS = 8
 
@@ -95,7 +96,7 @@ def _combine(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Reco
         ]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROWS.types)], schema=_ROWS)
 
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         ids, ties, hashes, contents = (c.to_pylist() for c in batch.columns)
         first, parts = row, []
         for i, tie, h, content in zip(ids, ties, hashes, contents):
