@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearname.session import reliable_checkpoint
+
 DIMS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 800  # texts per language that k-means sees; document frequencies cover all learnable texts
 ROUNDS = 10
 #: A text is rejected when its cosine is below this part of the language's lowest hundredth.
-REJECT = 0.35
+REJECT = 0.25
 CHUNK = 1 << 18  # characters turned into n-grams at a time
 
 
@@ -115,6 +117,20 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3
 
 
+def _sample(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, _h, _rn): the ``sample`` smallest text hashes of each language.
+
+    Hashes are even, so a bound on them leaves about four times the sample of each language
+    before anything is ranked, however large the table is.
+    """
+    hashes = docs.select("lang", F.xxhash64("text").alias("_h"))
+    numbers = hashes.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    part = F.least(F.lit(1.0), 4.0 * sample / F.col("_n"))
+    low = hashes.join(numbers, "lang").where(F.col("_h").cast("double") <= (2 * part - 1) * float(1 << 63))
+    order = Window.partitionBy("lang").orderBy("_h")
+    return low.select("lang", "_h").distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from ``docs`` (text, lang), both not null. Document frequencies are summed over all
     rows; k-means sees ``sample`` texts per language, those with the smallest hash. The driver
@@ -127,8 +143,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         df[r["pos"]] = r["df"]
     n = rows[0]["n"] if rows else 0
     idf = (np.log((n + 1) / (df + 1)) + 0.1).astype("float32")
-    order = Window.partitionBy("lang").orderBy("_h", "text")
-    picked = docs.select("lang", "text", F.xxhash64("text").alias("_h")).distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample)
+    chosen = reliable_checkpoint(_sample(docs, sample))
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    picked = hashed.join(chosen, ["lang", "_h"]).select("lang", "text", "_rn").dropDuplicates(["lang", "_rn"])
 
     def centres(group: pd.DataFrame) -> pd.DataFrame:
         counts = [c for t in group.sort_values("_rn")["text"] if (c := gram_counts(t)) is not None]
@@ -139,7 +156,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         low = float(np.quantile((vectors @ found.T).max(axis=1), 0.01)) * REJECT
         return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": low, "centre": [c.tolist() for c in found]})
 
-    learned = picked.select("lang", "text", "_rn").groupBy("lang").applyInPandas(centres, "lang string, floor double, centre array<float>").collect()
+    learned = picked.groupBy("lang").applyInPandas(centres, "lang string, floor double, centre array<float>").collect()
     learned.sort(key=lambda r: (r["lang"], r["centre"]))
     table = np.array([r["centre"] for r in learned], dtype="float32").reshape(-1, DIMS)
     return Model(idf, table, [r["lang"] for r in learned], np.array([r["floor"] for r in learned]))
