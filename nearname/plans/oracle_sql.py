@@ -8,12 +8,74 @@ from __future__ import annotations
 
 import textwrap
 
-from nearname.functions.keyboard import qwerty_edges
-from nearname.functions.names import REGISTRY_SERVERS
-from nearname.operators.candidates import DIGITS, LETTERS
-from nearname.plans.queries import KMEANS_PASSES
 from nearname.sources.events import POPULAR, SITES
 
+# Fixed values, kept here apart from the code they test: which keys lie next to which, the
+# registry's name servers, and the characters put in for another one.
+KEYBOARD = {
+    'a': 'qwsxz',
+    'b': 'vfghn',
+    'c': 'xsdfv',
+    'd': 'swerfvcx',
+    'e': 'wsdfr432',
+    'f': 'edcvbgtr',
+    'g': 'rfvbnhyt',
+    'h': 'tgbnmjuy',
+    'i': '7ujklo98',
+    'j': 'uyhnm,ki',
+    'k': 'ujm,.loi',
+    'l': 'ik,./;po',
+    'm': 'hn,kj',
+    'n': 'gbmjh',
+    'o': '8ikl;p09',
+    'p': "9ol;'[-0",
+    'q': 'asw21',
+    'r': '3edfgt54',
+    's': 'qazxcdew',
+    't': '4rfghy65',
+    'u': '6yhjki87',
+    'v': 'dcbgf',
+    'w': '1qasde32',
+    'x': 'zasdc',
+    'y': '5tghju76',
+    'z': 'asx',
+    '1': 'qw2',
+    '2': '1qwe3',
+    '3': '2wer4',
+    '4': '3ert5',
+    '5': '4rty6',
+    '6': '5tyu7',
+    '7': '6yui8',
+    '8': '7uio9',
+    '9': '8iop0',
+    '0': '9op[-',
+    '-': '0p[]=_',
+    '=': '-[]+',
+    '[': "]=-0p;'{",
+    ']': "-=\\';}",
+    '\\': "=]'|",
+    ';': "op['/.,l:",
+    "'": '][p;./"',
+    ',': 'mkl.<',
+    '.': ",l;'/>",
+    '/': "';.?",
+    '<': 'mkl.,',
+    '>': ',l;/.',
+    '?': ".;'/",
+    '"': "][;/'",
+    ':': "'][pl,./;",
+    '{': "-p;']=[",
+    '}': "=[;'\\]",
+    '|': "]='\\",
+    '+': '-[]=',
+    '_': '0p[=-',
+}
+REGISTRY_SERVERS = [f"{letter}.GTLD-SERVERS.NET." for letter in "ABCDEFGHIJKLM"]
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
+KMEANS_PASSES = 3
+CONVERGED_PASSES = 60  # more than any of the given tables takes; further passes change nothing
+
 _SITES = ", ".join(f"({i}, '{s}.')" for i, s in enumerate(SITES, start=1))
 _POPULAR = ", ".join(f"({i}, '{s}.')" for i, s in enumerate(POPULAR, start=1))
 _SERVERS = ", ".join(f"'{s}'" for s in REGISTRY_SERVERS)
@@ -134,7 +196,7 @@ ratios AS (SELECT typo, target, join_count / single_count::double AS ratio, join
 _REGISTRY = f"upper({{x}}) IN ({_SERVERS})"
 _BAD_MAIL = f"(r.rtype = 'MX' AND NOT coalesce({_REGISTRY.format(x='regexp_split_to_array(r.rdata, chr(91) || chr(32) || chr(59) || chr(93))[2]')}, false))"
 RULES = f"""
-first20 AS (SELECT *, row_number() OVER (PARTITION BY target, suffix ORDER BY ts, lookup_id) AS rn FROM own
+first20 AS (SELECT *, row_number() OVER (PARTITION BY target, suffix ORDER BY ts, lookup_id) AS rn FROM log WHERE suffix <> target
   QUALIFY rn <= 20),
 auth AS (SELECT target, suffix, rn, i, r FROM (
   SELECT target, suffix, rn, unnest(authority) AS r, generate_subscripts(authority, 1) AS i FROM first20)),
@@ -145,7 +207,7 @@ judged AS (
       ELSE (SELECT CASE WHEN min_by(r.rtype, i) = 'MX' THEN 1 WHEN min_by(r.rtype, i) = 'SOA' THEN 0 END FROM auth x
         WHERE x.target = f.target AND x.suffix = f.suffix AND x.rn = f.rn
           AND ((r.rtype = 'SOA' AND {_REGISTRY.format(x="regexp_split_to_array(r.rdata, '[ ;]')[1]")}) OR {_BAD_MAIL})) END AS verdict,
-    (SELECT CASE WHEN min_by({_REGISTRY.format(x='r.rdata')}, i) THEN -1 ELSE 1 END FROM auth x
+    (SELECT CASE WHEN min_by({_REGISTRY.format(x='regexp_split_to_array(r.rdata, chr(91) || chr(32) || chr(59) || chr(93))[1]')}, i) THEN -1 ELSE 1 END FROM auth x
       WHERE x.target = f.target AND x.suffix = f.suffix AND x.rn = f.rn AND r.rtype = 'NS' HAVING count(*) > 0) AS vote
   FROM first20 f),
 ruled AS (SELECT target, suffix AS typo,
@@ -182,22 +244,22 @@ scores AS (SELECT target, a, b, n, round(n / n_out::double, 6) AS share_out, n /
   FROM trans JOIN n_out USING (target, a) JOIN placed USING (target, b))"""
 
 
-def _kmeans() -> str:
+def _kmeans(passes: int = KMEANS_PASSES) -> str:
     steps = [
         "vec AS (SELECT vec_id AS name, label, cast(embedding AS double[]) AS vec FROM embeddings)",
         "c0 AS (SELECT row_number() OVER (ORDER BY md5(name::varchar), name) - 1 AS cluster, vec AS c FROM vec ORDER BY md5(name::varchar), name LIMIT 10)",
     ]
-    for i in range(KMEANS_PASSES + 1):
+    for i in range(passes + 1):
         steps.append(
-            f"a{i} AS (SELECT name, vec, arg_min(cluster, (list_distance(vec, c), cluster)) AS cluster, min(list_distance(vec, c)) AS dist "
+            f"a{i} AS MATERIALIZED (SELECT name, vec, arg_min(cluster, (list_distance(vec, c), cluster)) AS cluster, min(list_distance(vec, c)) AS dist "
             f"FROM vec, c{i} GROUP BY name, vec)"
         )
-        if i < KMEANS_PASSES:
+        if i < passes:
             steps.append(
                 f"m{i} AS (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM a{i}) GROUP BY ALL)"
             )
             steps.append(
-                f"c{i + 1} AS (SELECT k.cluster, coalesce(n.c, k.c) AS c FROM c{i} k LEFT JOIN "
+                f"c{i + 1} AS MATERIALIZED (SELECT k.cluster, coalesce(n.c, k.c) AS c FROM c{i} k LEFT JOIN "
                 f"(SELECT cluster, list(m ORDER BY pos) AS c FROM m{i} GROUP BY cluster) n USING (cluster))"
             )
     return ",\n".join(steps)
@@ -237,7 +299,7 @@ q AS (SELECT DISTINCT qname, site, rank, {_suffix('qname', 'site')} AS suffix FR
 {_osa("SELECT DISTINCT suffix AS a, site AS b FROM q")},
 best AS (SELECT qname, min_by((site, rank, d), (d, rank)) AS m FROM q JOIN osa ON suffix = a AND site = b WHERE d <= 2 GROUP BY qname),
 assigned AS (SELECT lk.lookup_id, lk.qname, m[1] AS target, m[2] AS rank, cast(m[3] AS integer) AS distance FROM lk JOIN best USING (qname))"""
-    edges = ", ".join("'" + (a + b).replace("'", "''") + "'" for a, b in qwerty_edges())
+    edges = ", ".join("'" + (a + b).replace("'", "''") + "'" for a, near in KEYBOARD.items() for b in near)
     keyboard_cost = f"(CASE WHEN a[i]=b[j] THEN 0.0 WHEN (a[i]||b[j]) IN ({edges}) THEN 0.5 ELSE 1.0 END)::double"
     swapped = """
 ask AS (SELECT *, replace(qname, '.ocm.', '.com.') AS name FROM lk WHERE qname LIKE '%.ocm.'),
@@ -328,6 +390,24 @@ SELECT target, name, other, direction, n, round(n / lookups::double, 6) AS share
         "consecutive_gap": f"""WITH {base}, s AS (SELECT src_ip, ts, lead(ts) OVER (PARTITION BY src_ip ORDER BY ts, lookup_id) AS next_ts FROM lk)
 SELECT src_ip, ts, next_ts, next_ts - ts AS gap_s FROM s WHERE next_ts - ts < 300""",
         "kmeans_fixed_passes": f"WITH {_kmeans()} SELECT cluster::integer AS cluster, pos::integer AS pos, round(x, 5) AS x, size FROM (SELECT cluster, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM c{KMEANS_PASSES}) JOIN (SELECT cluster, count(*) AS size FROM a{KMEANS_PASSES} GROUP BY cluster) USING (cluster)",
+        "kmeans_converged": f"WITH {_kmeans(CONVERGED_PASSES)} SELECT cluster::integer AS cluster, pos::integer AS pos, round(x, 4) AS x, size FROM (SELECT cluster, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM c{CONVERGED_PASSES}) JOIN (SELECT cluster, count(*) AS size FROM a{CONVERGED_PASSES} GROUP BY cluster) USING (cluster)",
+        "log_files_read": f"WITH {base}, h(how) AS (VALUES ('glob'), ('recursive')) SELECT how, qname, count(*) AS lookups FROM lk, h GROUP BY ALL",
+        "pair_files_read": f"WITH {tagged},{STATS} SELECT a.ts AS typo_ts, a.src_ip AS typo_src_ip, a.qname AS typo_qname, b.ts AS target_ts, b.src_ip AS target_src_ip, b.qname AS target_qname FROM v1 JOIN lk a ON a.lookup_id = typo_id JOIN lk b ON b.lookup_id = target_id",
+        "ratio_file_read": f"WITH {tagged},{RATIOS},{RULES} SELECT ratios.target, ratios.typo, round(ratio, 6) AS ratio, join_count, single_count, CASE WHEN exists THEN 'yes' WHEN NOT exists THEN 'no' END AS status FROM ratios LEFT JOIN ruled USING (target, typo)",
+        "typo_stats_file_read": f"WITH {tagged},{STATS} SELECT * REPLACE (round(mean_delay, 6) AS mean_delay) FROM tstats",
+        "status_pair_files_read": f"WITH {tagged},{RATIOS},{RULES},{V3} SELECT typo, typo_ts, target, target_ts, net16, CASE WHEN exists THEN 'existed' ELSE 'nonexisted' END AS status FROM v3",
+        "delay_list": f"WITH {tagged},{RATIOS},{RULES},{V3} SELECT exists, target_ts - typo_ts AS delay_s FROM v3",
+        "write_modes": f"WITH {base} SELECT target, count(*) AS appended, count(*) FILTER (lookup_id % 2 = 0) AS overwritten FROM lk GROUP BY target HAVING overwritten > 0",
+        "typo_files_read": f"WITH {tagged}, {observed} SELECT target, suffix AS typo, count(*) AS lookups FROM own WHERE (target, suffix) IN (SELECT (target, candidate) FROM observed) GROUP BY ALL",
+        "list_files_read": f"WITH {tagged}, {observed} SELECT * FROM observed",
+        "zone_file_read": f"WITH {base} SELECT upper(split_part(qname, '.', 1)) AS zone, count(*) AS lines FROM lk WHERE lookup_id % 4 <> 0 AND split_part(qname, '.', 1) <> '' GROUP BY ALL",
+        "feature_file_read": "SELECT vec_id::varchar AS name, len(embedding)::integer AS dims, round(list_sum(cast(embedding AS double[])), 5) AS total FROM embeddings",
+        "pair_lines_dist1": f"""WITH RECURSIVE {tagged}, {_osa('SELECT DISTINCT suffix AS a, target AS b FROM log')}, text AS (SELECT lookup_id, {CLEAN} AS line FROM lk)
+SELECT s.line || ';;' || t.line AS line FROM log x JOIN osa ON x.suffix = a AND x.target = b AND d = 1
+  JOIN log y ON y.target = x.target AND y.suffix = y.target AND y.ts - x.ts >= 0 AND y.ts - x.ts < 60
+  JOIN text s ON s.lookup_id = x.lookup_id JOIN text t ON t.lookup_id = y.lookup_id""",
+        "sql_distances": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x JOIN hosts y ON len(x.host) = len(y.host) AND x.host < y.host')} SELECT a AS x, b AS y, cast(d AS integer) AS distance, {_suffix('a', chr(39) + 'example.com.' + chr(39))} AS suffix FROM osa",
+        "sql_keyboard_distances": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x JOIN hosts y ON len(x.host) = len(y.host) AND x.host < y.host', cost=keyboard_cost)} SELECT a AS x, b AS y, d AS distance FROM osa",
         "kmeans_members": f"WITH {_kmeans()} SELECT cluster::integer AS cluster, row_number() OVER (PARTITION BY cluster ORDER BY name)::integer AS place, name FROM a{KMEANS_PASSES} QUALIFY place <= 10",
         "centre_distance": f"WITH {_kmeans()} SELECT name, cluster::integer AS cluster, round(dist, 5) AS distance FROM a0",
         "label_means": "WITH t AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, pos::integer AS pos, round(avg(x), 6) AS mean, count(*) AS count FROM t GROUP BY label, pos",
