@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearname.functions.names import dot_count, first_label, name_suffix, with_dot
-from nearname.operators.fuzzy import depths, suffixes_by_depth
+from nearname.functions.names import dot_count, first_label, name_suffix, suffix_at, with_dot
 
 
-def lookups_named(lookups: DataFrame, name: str, extra_labels: int = 1) -> DataFrame:
-    """Lookups of one name."""
-    return lookups.where(name_suffix("qname", F.lit(name), extra_labels) == name)
+def matched_names(site_log: DataFrame, candidates: DataFrame, extra_labels: int = 1) -> DataFrame:
+    """(target, qname, typo and further columns of ``candidates``): which queried names of a site
+    belong to which of its listed look-alikes.
+
+    ``candidates`` has (target, candidate), each pair once. A name is compared at the depth of
+    the candidate. Names and depths are made distinct first, so this works on names, not rows.
+    """
+    listed = candidates.withColumnRenamed("candidate", "typo").withColumn("_depth", dot_count("typo"))
+    names = site_log.select("target", "qname").distinct()
+    at_depth = names.join(listed.select("target", "_depth").distinct(), "target")
+    keyed = at_depth.withColumn("typo", suffix_at("qname", F.col("_depth"), extra_labels))
+    return keyed.join(listed, ["target", "_depth", "typo"]).drop("_depth")
 
 
 def lookalike_lookups(site_log: DataFrame, candidates: DataFrame, extra_labels: int = 1) -> DataFrame:
-    """Lookups of every listed look-alike of their site.
+    """Lookups of every listed look-alike of their site, with ``typo`` and whatever else
+    ``candidates`` carries; names are compared at the depth of the look-alike. Rows meet the
+    list once, on their name."""
+    return site_log.join(matched_names(site_log, candidates, extra_labels), ["target", "qname"])
 
-    ``candidates`` has (target, candidate), each pair once. A name is compared at the depth of
-    the candidate; depths in use are few, so each lookup carries a few (depth, suffix) keys
-    and meets the list in one equi-join.
-    """
-    keyed = suffixes_by_depth(site_log, "qname", depths(candidates, "candidate"), extra_labels)
-    listed = candidates.select(
-        "target", F.col("candidate").alias("suffix"), dot_count("candidate").alias("depth")
-    ).distinct()
-    return keyed.join(listed, ["target", "depth", "suffix"]).drop("depth").withColumnRenamed("suffix", "typo")
+
+def lookups_at_site_depth(site_log: DataFrame, candidates: DataFrame, extra_labels: int = 1) -> DataFrame:
+    """Lookups whose suffix at the depth of their *site* is a listed look-alike: those that
+    existence is judged from."""
+    listed = candidates.select("target", F.col("candidate").alias("typo")).distinct()
+    return site_log.withColumn("typo", name_suffix("qname", "target", extra_labels)).join(listed, ["target", "typo"])
 
 
 def unpopular(names: DataFrame, popular: DataFrame, name: str = "name") -> DataFrame:

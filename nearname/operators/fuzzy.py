@@ -85,10 +85,10 @@ def fuzzy_pairs(
     near = F.levenshtein("_a", "_b", 2 * radius) >= 0
     candidates = (
         a_keys.join(b_keys, [*on, "_key"])
-        .where((F.abs(F.length("_a") - F.length("_b")) <= radius) & near)
+        .where(F.abs(F.length("_a") - F.length("_b")) <= radius)
     )
-    distance = keyboard_osa("_a", "_b", edges) if keyboard else osa("_a", "_b")
-    # A pair occurs once per shared key; its distance is computed once.
+    # A pair occurs once per shared key; both distances are computed once per distinct pair.
+    distance = F.when(near, keyboard_osa("_a", "_b", edges) if keyboard else osa("_a", "_b"))
     return (
         distinct_with(candidates, [*on, "_a", "_b"], "distance", distance)
         .where(F.col("distance") <= max_distance)
@@ -96,9 +96,9 @@ def fuzzy_pairs(
     )
 
 
-def depths(df: DataFrame, name: str, most: int = 128) -> list[int]:
-    """Distinct dot counts of a name column; names have at most 127 labels."""
-    rows = df.select(dot_count(name).alias("d")).distinct().limit(most).collect()
+def depths(df: DataFrame, name: str) -> list[int]:
+    """Distinct dot counts of a name column, all of them: one number per depth in use."""
+    rows = df.select(dot_count(name).alias("d")).distinct().collect()
     return sorted(r["d"] for r in rows)
 
 

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearname.functions.distance import osa
-from nearname.functions.names import dot_count, name_suffix
+from nearname.functions.names import name_suffix
 from nearname.functions.once import distinct_with
 from nearname.operators.cache import visible_lookups
-from nearname.operators.fuzzy import depths, suffixes_by_depth
+from nearname.operators.extract import lookalike_lookups
 from nearname.operators.seconds import BIN_S, GROUP, running_fold, second_counts, with_keys
 from nearname.operators.skew import SPLIT_ROWS, salted_join
 
@@ -47,11 +47,13 @@ def pair_rows(
     last = F.floor((F.col("typo_ts") + high) / width)
     spread = typos.withColumn("_bin", F.explode(F.sequence(first, last)))  # at most two bins
     placed = targets.withColumn("_bin", F.floor(F.col("target_ts") / width))
-    sizes = None
+    sizes = typo_sizes = None
     if counts is not None:
-        bins = counts.where(F.col("suffix") == F.col("target")).groupBy(*on, F.floor(F.col("ts") / width).alias("_bin"))
-        sizes = bins.agg(F.sum("n").alias("count"))
-    joined = salted_join(placed, spread, [*on, "_bin"], split_rows, sizes)
+        here, heads = F.floor(F.col("ts") / width), F.col("suffix") == F.col("target")
+        sizes = counts.where(heads).groupBy(*on, here.alias("_bin")).agg(F.sum("n").alias("count"))
+        bins = F.explode(F.sequence(F.floor((F.col("ts") + low) / width), F.floor((F.col("ts") + high) / width)))
+        typo_sizes = counts.where(~heads).select(*on, bins.alias("_bin"), "n").groupBy(*on, "_bin").agg(F.sum("n").alias("count"))
+    joined = salted_join(placed, spread, [*on, "_bin"], split_rows, sizes, typo_sizes)
     delay = F.col("target_ts") - F.col("typo_ts")
     return joined.withColumn("delay_s", delay).where(F.col("delay_s").between(low, high)).drop("_bin")
 
@@ -97,10 +99,8 @@ def status_pairs(
     """
     rows = with_keys(site_log).where(F.col("net16").isNotNull())
     targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", GROUP, False)
-    keyed = suffixes_by_depth(rows.drop("suffix"), "qname", depths(statuses, "typo"))
-    listed = statuses.select("target", F.col("typo").alias("suffix"), "exists", dot_count("typo").alias("depth"))
-    matched = keyed.join(listed, ["target", "depth", "suffix"])
-    typos = _side(matched, "typo", [*GROUP, "exists"], False, "suffix")
+    listed = statuses.select("target", F.col("typo").alias("candidate"), "exists")
+    typos = _side(lookalike_lookups(rows, listed), "typo", [*GROUP, "exists"], False, "typo")
     return pair_rows(typos, targets, GROUP, 1, window_s, split_rows, counts)
 
 
@@ -110,14 +110,15 @@ def near_pairs(
     window_s: int = WINDOW_S,
     split_rows: int = SPLIT_ROWS,
     counts: DataFrame | None = None,
+    records: bool = False,
 ) -> DataFrame:
     """Pairs over all networks whose look-alike is exactly ``distance`` edits from the site:
-    0 <= delay < window_s."""
+    0 <= delay < window_s; with ``records`` both lookups whole, for their text form."""
     rows = site_log.withColumn("suffix", name_suffix("qname", "target"))
     names = distinct_with(rows, ["target", "suffix"], "distance", osa("suffix", "target"))
     close = names.where(F.col("distance") == distance)
-    typos = _side(rows.join(close, ["target", "suffix"], "left_semi"), "typo", ["target"], False, "suffix")
-    targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", ["target"], False)
+    typos = _side(rows.join(close, ["target", "suffix"], "left_semi"), "typo", ["target"], records, "suffix")
+    targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", ["target"], records)
     return pair_rows(typos, targets, ["target"], 0, window_s - 1, split_rows, counts)
 
 

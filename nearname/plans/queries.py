@@ -21,9 +21,31 @@ from nearname.operators.candidates import candidate_hits, typo_candidates
 from nearname.plans.study import condensed
 from nearname.session import reliable_checkpoint, spread, work_dir
 from nearname.sources.events import log_lines_from_events, lookups_from_events, popular_sites, watched_sites
-from nearname.sources.lists import parse_candidate_lines, parse_features, parse_zone
-from nearname.sources.logs import lookups_of, parse_lines, rejects_of
-from nearname.sources.sinks import pair_lines, sorted_log, write_lines
+from nearname.functions.sql import register
+from nearname.schema import RATIO_STATUS, TYPO_STATS
+from nearname.sources.lists import (
+    parse_candidate_lines,
+    parse_features,
+    parse_zone,
+    read_candidates,
+    read_features,
+    read_pairs,
+    read_ratios,
+    read_status_pairs,
+    read_typo_stats,
+    read_zone,
+)
+from nearname.sources.logs import lookups_of, parse_lines, read_lines, rejects_of
+from nearname.sources.sinks import (
+    pair_lines,
+    sorted_log,
+    split_lists_by_first,
+    write_csv,
+    write_lines,
+    write_lines_by,
+    write_status_pairs,
+    write_table_by,
+)
 from nearname.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,7 +296,7 @@ def _statuses(log: DataFrame, counts: DataFrame, spark: SparkSession) -> DataFra
     rated = stats.pair_ratios(counts, popular_sites(spark))
     listed = rated.select("target", F.col("typo").alias("candidate"))
     listed = reliable_checkpoint(listed)
-    return reliable_checkpoint(existence.exists_by_rules(extract.lookalike_lookups(log, listed)))
+    return reliable_checkpoint(existence.exists_by_rules(extract.lookups_at_site_depth(log, listed)))
 
 
 def _observed(spark: SparkSession, log: DataFrame) -> DataFrame:
@@ -318,7 +340,7 @@ def exists_by_ttl(spark, sf):
 @query
 def exists_by_rules(spark, sf):
     log = site_log(spark, sf)
-    return existence.exists_by_rules(extract.lookalike_lookups(log, _observed(spark, log)))
+    return existence.exists_by_rules(extract.lookups_at_site_depth(log, _observed(spark, log)))
 
 
 @query
@@ -439,7 +461,7 @@ def consecutive_gap(spark, sf):
 
 def _centres(spark: SparkSession, sf: str):
     points = vectors(spark, sf)
-    return points, cluster.kmeans(points, max_iterations=KMEANS_PASSES, eps=0.0)[0]
+    return points, cluster.kmeans(points, max_iterations=KMEANS_PASSES, eps=-1.0)[0]
 
 
 @query
@@ -450,6 +472,16 @@ def kmeans_fixed_passes(spark, sf):
     return rounded(tall.join(sizes, "cluster"), "x", digits=5)
 
 
+@query
+def kmeans_converged(spark, sf):
+    """Centres after which no pass moves them by more than the default bound."""
+    points = vectors(spark, sf)
+    centres, _ = cluster.kmeans(points)
+    sizes = cluster.assign(points, centres).groupBy("cluster").agg(F.count("*").alias("size"))
+    tall = cluster.centre_table(points, centres).select("cluster", F.posexplode("centre").alias("pos", "x"))
+    return rounded(tall.join(sizes, "cluster"), "x", digits=4)
+
+
 @query
 def kmeans_members(spark, sf):
     points, centres = _centres(spark, sf)
@@ -485,6 +517,136 @@ def features_from_text(spark, sf):
     return parsed.select("name", F.size("vec").alias("dims"), F.round(total, 5).alias("total"))
 
 
+# Files: each query writes with a sink and reads back with a source
+
+
+@query
+def log_files_read(spark, sf):
+    """Compressed log files in one folder per site, read by a glob and by a recursive listing."""
+    out = work_dir(spark, "files")
+    write_lines_by(site_log(spark, sf), ["target"], out)
+    ways = {"glob": read_lines(spark, f"{out}/target=*", "*.gz"), "recursive": read_lines(spark, out, "*.gz", recursive=True)}
+    found = [lookups_of(parse_lines(lines)).withColumn("how", F.lit(how)) for how, lines in ways.items()]
+    return found[0].unionByName(found[1]).groupBy("how", "qname").agg(F.count("*").alias("lookups"))
+
+
+@query
+def pair_files_read(spark, sf):
+    log, out = site_log(spark, sf), work_dir(spark, "pairs")
+    pair_lines(pairs.visible_pairs(log, condensed(log), records=True)).write.text(out)
+    names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("typo", "target") for c in ("ts", "src_ip", "qname")]
+    return read_pairs(spark, out).select(*names)
+
+
+@query
+def ratio_file_read(spark, sf):
+    log, out = site_log(spark, sf), work_dir(spark, "ratios")
+    counts = condensed(log)
+    rated = existence.with_status(stats.pair_ratios(counts, popular_sites(spark)), _statuses(log, counts, spark))
+    write_csv(rated.select(*RATIO_STATUS.names), out)
+    return rounded(read_ratios(spark, out, with_status=True), "ratio")
+
+
+@query
+def typo_stats_file_read(spark, sf):
+    out = work_dir(spark, "stats")
+    write_csv(stats.typo_stats(condensed(site_log(spark, sf))).select(*TYPO_STATS.names), out)
+    return rounded(read_typo_stats(spark, out), "mean_delay")
+
+
+def _status_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    log = site_log(spark, sf)
+    counts = condensed(log)
+    return pairs.status_pairs(log, _statuses(log, counts, spark), counts=counts)
+
+
+@query
+def status_pair_files_read(spark, sf):
+    """Pairs in a folder for existing and one for other look-alikes; the folders give the status."""
+    out = work_dir(spark, "status")
+    write_status_pairs(_status_pairs(spark, sf), out)
+    parts = [read_status_pairs(spark, f"{out}/status={s}").withColumn("status", F.lit(s)) for s in ("existed", "nonexisted")]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def delay_list(spark, sf):
+    return stats.delays(_status_pairs(spark, sf))
+
+
+@query
+def write_modes(spark, sf):
+    """Rows per site after overwriting and appending, and after overwriting again."""
+    log, out = site_log(spark, sf).select("target", "lookup_id"), work_dir(spark, "modes")
+    write_table_by(log.where("lookup_id % 2 = 0"), ["target"], out, "overwrite")
+    write_table_by(log.where("lookup_id % 2 = 1"), ["target"], out, "append")
+    both = reliable_checkpoint(spark.read.parquet(out).groupBy("target").agg(F.count("*").alias("appended")))
+    write_table_by(log.where("lookup_id % 2 = 0"), ["target"], out, "overwrite")
+    last = spark.read.schema("lookup_id long, target string").parquet(out).groupBy("target").agg(F.count("*").alias("overwritten"))
+    return both.join(last, "target")
+
+
+@query
+def typo_files_read(spark, sf):
+    """Log lines in one folder per site and look-alike."""
+    log, out = site_log(spark, sf), work_dir(spark, "typos")
+    write_lines_by(extract.lookalike_lookups(log, _observed(spark, log)), ["target", "typo"], out)
+    return spark.read.text(out).groupBy("target", "typo").agg(F.count("*").alias("lookups"))
+
+
+@query
+def list_files_read(spark, sf):
+    """Candidate lines cut into one folder per site and read again."""
+    out = work_dir(spark, "lists")
+    split_lists_by_first(extract.candidate_lines(_observed(spark, site_log(spark, sf)), per_line=9), out)
+    return read_candidates(spark, out).select("target", "candidate")
+
+
+@query
+def zone_file_read(spark, sf):
+    out = work_dir(spark, "zone")
+    kind = F.when(F.col("lookup_id") % 4 == 0, " A ").otherwise(" NS ")
+    line = F.concat(F.upper(N.first_label("qname")), kind, F.lit("ns1.example.net."))
+    site_log(spark, sf).select(line.alias("value")).write.text(out)
+    return read_zone(spark, out).groupBy("zone").agg(F.count("*").alias("lines"))
+
+
+@query
+def feature_file_read(spark, sf):
+    out = work_dir(spark, "features")
+    text = F.array_join(F.transform("vec", lambda x: x.cast("string")), ",")
+    vectors(spark, sf).select(F.concat_ws("\t", F.col("name").cast("string"), text).alias("value")).write.text(out)
+    total = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x)
+    return read_features(spark, out).select("name", F.size("vec").alias("dims"), F.round(total, 5).alias("total"))
+
+
+@query
+def pair_lines_dist1(spark, sf):
+    """Text of both lookups for pairs whose look-alike is one edit away."""
+    return pair_lines(pairs.near_pairs(site_log(spark, sf), records=True))
+
+
+@query
+def sql_distances(spark, sf):
+    """The SQL functions in a query: pairs of equally long hosts."""
+    register(spark)
+    page_hosts(spark, sf).createOrReplaceTempView("page_hosts")
+    return spark.sql(
+        "SELECT x.host AS x, y.host AS y, osa_distance(x.host, y.host) AS distance, name_suffix(x.host, 'example.com.') AS suffix "
+        "FROM page_hosts x JOIN page_hosts y ON length(x.host) = length(y.host) AND x.host < y.host"
+    )
+
+
+@query
+def sql_keyboard_distances(spark, sf):
+    register(spark)
+    page_hosts(spark, sf).createOrReplaceTempView("page_hosts")
+    return spark.sql(
+        "SELECT x.host AS x, y.host AS y, keyboard_distance(x.host, y.host) AS distance "
+        "FROM page_hosts x JOIN page_hosts y ON length(x.host) = length(y.host) AND x.host < y.host"
+    )
+
+
 # Streams
 
 

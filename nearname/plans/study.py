@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearname.operators.existence import exists_by_rules, with_status
-from nearname.operators.extract import lookalike_lookups, observed_candidates
+from nearname.operators.extract import lookups_at_site_depth, unpopular
 from nearname.operators.fuzzy import assign_sites
 from nearname.operators.pairs import WINDOW_S
 from nearname.operators.seconds import second_counts
@@ -62,10 +62,11 @@ def study(
     instead of the log. Only existence by rules goes back to the rows it needs.
     """
     counts = condensed(site_log)
-    candidates = reliable_checkpoint(observed_candidates(site_log, popular))
+    names = counts.where(F.col("suffix") != F.col("target")).select("target", F.col("suffix").alias("candidate")).distinct()
+    candidates = reliable_checkpoint(unpopular(names, popular, "candidate"))
     ratios = reliable_checkpoint(pair_ratios(counts, popular, window_s, min_ratio))
     listed = ratios.select("target", F.col("typo").alias("candidate"))
-    exists = reliable_checkpoint(exists_by_rules(lookalike_lookups(site_log, listed), order))
+    exists = reliable_checkpoint(exists_by_rules(lookups_at_site_depth(site_log, listed), order))
     rated = with_status(ratios, exists)
     statuses = rated.select("target", "typo", (F.col("status") == "yes").alias("exists"))
     stats = typo_stats(counts, window_s)

@@ -42,7 +42,7 @@ def log_stream(
 
 
 def ingest_by_site(
-    lines: DataFrame, sites: DataFrame, out: str, checkpoint: str, max_distance: int = 2, pieces: int = 8
+    lines: DataFrame, sites: DataFrame, out: str, checkpoint: str, max_distance: int = 2
 ) -> StreamingQuery:
     """Parse new log files, match names to sites and add the rows to the table at ``out``.
 
@@ -55,9 +55,8 @@ def ingest_by_site(
         # Read for the names and again for the rows: parsed once.
         lookups = lookups_of(parse_lines(batch)).persist()
         matched = assign_sites(lookups, sites, max_distance)
-        salt = F.pmod(F.xxhash64("ts", "src_ip", "qname"), F.lit(pieces))
-        spread = matched.repartition(F.col("target"), salt)
-        spread.write.mode("overwrite").partitionBy("target").parquet(f"{out}/round={batch_id}")
+        # One file per site, more only where a site's rows fill several tasks.
+        matched.hint("rebalance", "target").write.mode("overwrite").partitionBy("target").parquet(f"{out}/round={batch_id}")
         lookups.unpersist()
 
     return (
@@ -76,33 +75,36 @@ def stream_pairs(
     typos: DataFrame,
     targets: DataFrame,
     window_s: int = WINDOW_S,
-    lateness: str = "10 minutes",
-    pieces: int = 4,
+    lateness: str | None = None,
+    pieces: int = 1,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Look-alike lookups with correct lookups 0..window_s seconds later, as they arrive.
 
     Inputs are streams with target, net16 and ts, typos also with typo. State is held per
     site, network, time bin and piece, so a site or network with a large share of the log is
-    spread over many state stores, and a bin's state goes once the watermark has passed it.
-    Rows later than ``lateness`` are dropped. Cached answers are not considered here.
+    spread over many state stores; ``pieces`` repeats look-alike rows and is for bins too large
+    for one. By default every pair is found however late its rows arrive, and state is kept.
+    With ``lateness`` a bin's state goes once the watermark has passed it, and rows that come
+    later than that find no partner. Cached answers are not considered here.
     """
+    late = (lambda df, at: df.withWatermark(at, lateness)) if lateness else (lambda df, at: df)
     width = window_s + 1
     at = F.timestamp_seconds("ts")
     first = F.floor(F.col("ts") / width)
     last = F.floor((F.col("ts") + window_s) / width)
-    left = (
+    left = late(
         typos.select(*GROUP, "typo", *keep, F.col("ts").alias("typo_ts"), at.alias("typo_at"), F.explode(F.sequence(first, last)).alias("bin"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-        .withWatermark("typo_at", lateness)
+        , "typo_at",
     )
-    right = targets.select(
+    right = late(targets.select(
         *GROUP,
         F.col("ts").alias("target_ts"),
         at.alias("target_at"),
         first.alias("bin"),
         F.pmod(F.xxhash64(*targets.columns), F.lit(pieces)).cast("int").alias("piece"),
-    ).withWatermark("target_at", lateness)
+    ), "target_at")
     right = right.select(*[F.col(c).alias(f"r_{c}" if c in (*GROUP, "bin", "piece") else c) for c in right.columns])
     same = [F.col(c) == F.col(f"r_{c}") for c in (*GROUP, "bin", "piece")]
     within = (F.col("target_at") >= F.col("typo_at")) & (

@@ -186,7 +186,9 @@ def test_salted_join(spark):
     plain = {tuple(r) for r in big.join(small, "k").select("k", "v", "w").collect()}
     salted = skew.salted_join(big, small, ["k"], split_rows=100).select("k", "v", "w").collect()
     assert len(salted) == 3000 and {tuple(r) for r in salted} == plain
-    assert skew.hot_keys(big.groupBy("k").count(), ["k"], 100) == [(0, 11)]
+    assert [tuple(r) for r in skew.hot_keys(big.groupBy("k").count(), ["k"], 100).collect()] == [(0, 11)]
+    both = skew.salted_join(big, big.withColumnRenamed("v", "u"), ["k"], split_rows=300).groupBy("k").count()
+    assert {r["k"]: r["count"] for r in both.collect()} == {r["k"]: r["count"] ** 2 for r in big.groupBy("k").count().collect()}
 
 
 def test_running_fold(spark):
