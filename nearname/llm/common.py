@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 CELL_BITS = 12
 
 
+def sliced(texts: pa.Array, rows: int = 512) -> Iterator[list]:
+    """Values of an Arrow column as Python lists of at most ``rows``, so that a batch of long
+    texts is not held twice; buffers Arrow no longer uses go back to the system at the end."""
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -109,6 +109,7 @@ def _combine(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Reco
             yield records()
             part += len(copies.first)
             copies = Copies()
+            pa.default_memory_pool().release_unused()
     if copies.first:
         yield records()
 

@@ -17,8 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from nearname.llm.common import sliced
 from nearname.session import reliable_checkpoint
 
 DIMS = 1 << 13
@@ -68,10 +68,11 @@ def weigh(counts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(DIMS, dtype="int64"), 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if (counts := gram_counts(text)) is not None:
-                total += counts > 0
-                n += 1
+        for part in sliced(batch.column(0)):
+            for text in part:
+                if (counts := gram_counts(text)) is not None:
+                    total += counts > 0
+                    n += 1
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.int64()))], ["n", "df"])
 
 
@@ -167,33 +168,35 @@ def fit_documents(docs: DataFrame) -> Model:
     return fit(docs.where((remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score (cosine, 0 to 1) and rejected. Text that is null or has no
-    letter is ``und`` with score 0 and rejected; so is all text of a model without languages."""
+FOUND = "__language"  # a name no table is expected to use
+
+
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with a struct of lang_pred, score (cosine, 0 to 1) and rejected. Text that is null
+    or has no letter is ``und`` with score 0 and rejected; so is all text of a model without
+    languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers per centroid
-    keep = docs.columns
-    at = keep.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, scores, rejected = shared.value.predict(batch.column(at).to_pylist())
-            added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*keep, "lang_pred", "score", "rejected"])
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    def found(texts: pa.Array) -> pa.Array:
+        rows: tuple[list, list, list] = ([], [], [])
+        for part in sliced(texts):
+            for column, values in zip(rows, shared.value.predict(part)):
+                column += values
+        types = (pa.string(), pa.float64(), pa.bool_())
+        return pa.StructArray.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], ["lang_pred", "score", "rejected"])
 
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, rejected boolean").fields])
-    return docs.mapInArrow(run, schema)
+    # Only the text goes to Python, and only the three values come back.
+    return docs.withColumn(FOUND, found(F.col("text")))
 
 
 def language_table(docs: DataFrame) -> DataFrame:
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out")
-    found = predict(docs.select("doc_id", "text"), fit_documents(docs))
-    return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
+    found = with_language(docs.select("doc_id", "text"), fit_documents(docs))
+    return found.select("doc_id", held_out, f"{FOUND}.*")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised; columns and languages stay as they are."""
     model = fit_documents(docs)
-    taken = {"lang_pred", "score", "rejected"}
-    plain = [F.col(c).alias(f"_{i}") if c in taken else F.col(c) for i, c in enumerate(docs.columns)]
-    found = predict(docs.select(*plain), model).where(~F.col("rejected"))
-    return found.select(*[F.col(f"_{i}").alias(c) if c in taken else F.col(c) for i, c in enumerate(docs.columns)])
+    return with_language(docs, model).where(~F.col(f"{FOUND}.rejected")).select(*docs.columns)

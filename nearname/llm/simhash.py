@@ -14,14 +14,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from nearname.llm.common import one_space
+from nearname.llm.common import one_space, sliced
 from nearname.llm.components import components
 from nearname.llm.exact_dedup import rows_of
 from nearname.session import reliable_checkpoint
@@ -53,15 +51,16 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="uint64").astype("int64")
-
-
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
     """Documents with their signed 64-bit fingerprint."""
     flat = F.trim(one_space(F.translate(text, UPPER, LOWER)))
-    return docs.withColumn(name, _fingerprints(flat))
+
+    @F.arrow_udf("long")
+    def fingerprints(texts: pa.Array) -> pa.Array:
+        found = [np.array([fingerprint(t) for t in part], dtype="uint64") for part in sliced(texts)]
+        return pa.array(np.concatenate(found).view("int64") if found else [], pa.int64())
+
+    return docs.withColumn(name, fingerprints(flat))
 
 
 def _masks(width: int, offset: int, blocks: int, keep: int) -> list[int]:
