@@ -38,6 +38,17 @@ def word_count(text: Column) -> Column:
     return F.when(flat == "", F.lit(0)).otherwise(blanks + 1).cast("bigint")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def seeded_hash(seed: int, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 

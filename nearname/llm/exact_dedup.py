@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearname.llm.common import one_space
+from nearname.llm.common import free_names, one_space
 from nearname.session import reliable_checkpoint
 
 TABLE_BYTES = 16 << 20
@@ -197,17 +197,18 @@ def duplicate_table(docs: DataFrame) -> DataFrame:
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (id, tie), each once: tie is the hash of the raw
-    text. Rows repeated in full are found by their number and reduced to one."""
-    numbers = docs.groupBy("doc_id", F.xxhash64("text").alias("_tie")).count()
-    keys = kept.select("id", "tie").distinct()
-    keys = numbers.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_tie") == F.col("tie"))).select("id", "tie", "count")
+    text. Rows repeated in full are found by their number and reduced to one. Further columns of
+    any name stay as they are."""
+    id_, tie, count, own = free_names(docs, "_id", "_tie", "_count", "_own")
+    numbers = docs.groupBy(F.col("doc_id").alias(id_), F.xxhash64("text").alias(tie)).agg(F.count("*").alias(count))
+    wanted = kept.select(F.col("id").alias("_kept"), F.col("tie").alias("_kept_tie")).distinct()
+    keys = numbers.join(wanted, F.col(id_).eqNullSafe(F.col("_kept")) & (F.col(tie) == F.col("_kept_tie"))).select(id_, tie, count)
     keys = reliable_checkpoint(keys)
-    tied = docs.withColumn("_tie", F.xxhash64("text"))
-    found = tied.join(keys, tied["doc_id"].eqNullSafe(keys["id"]) & (tied["_tie"] == keys["tie"]))
-    if keys.where("count > 1").isEmpty():
+    found = docs.withColumn(own, F.xxhash64("text")).join(keys, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(tie)))
+    if keys.where(F.col(count) > 1).isEmpty():
         return found.select(*docs.columns)
-    alone = found.where("count = 1").select(*docs.columns)
-    return alone.unionByName(found.where("count > 1").dropDuplicates(["doc_id", "_tie"]).select(*docs.columns))
+    alone = found.where(F.col(count) == 1).select(*docs.columns)
+    return alone.unionByName(found.where(F.col(count) > 1).dropDuplicates([id_, tie]).select(*docs.columns))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearname.llm.common import sliced
+from nearname.llm.common import free_names, sliced
 from nearname.session import reliable_checkpoint
 
 DIMS = 1 << 13
@@ -168,11 +168,11 @@ def fit_documents(docs: DataFrame) -> Model:
     return fit(docs.where((remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
 
 
-FOUND = "__language"  # a name no table is expected to use
+FOUND = "__language"
 
 
-def with_language(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a struct of lang_pred, score (cosine, 0 to 1) and rejected. Text that is null
+def with_language(docs: DataFrame, model: Model, name: str = FOUND) -> DataFrame:
+    """``docs`` with the struct ``name`` of lang_pred, score (cosine, 0 to 1) and rejected. Text that is null
     or has no letter is ``und`` with score 0 and rejected; so is all text of a model without
     languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers per centroid
@@ -187,7 +187,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], ["lang_pred", "score", "rejected"])
 
     # Only the text goes to Python, and only the three values come back.
-    return docs.withColumn(FOUND, found(F.col("text")))
+    return docs.withColumn(name, found(F.col("text")))
 
 
 def language_table(docs: DataFrame) -> DataFrame:
@@ -198,5 +198,5 @@ def language_table(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised; columns and languages stay as they are."""
-    model = fit_documents(docs)
-    return with_language(docs, model).where(~F.col(f"{FOUND}.rejected")).select(*docs.columns)
+    (name,) = free_names(docs, FOUND)
+    return with_language(docs, fit_documents(docs), name).where(~F.col(f"{name}.rejected")).select(*docs.columns)

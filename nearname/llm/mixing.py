@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearname.llm.common import running, seeded_hash, word_count
+from nearname.llm.common import free_names, running, seeded_hash, word_count
 from nearname.session import reliable_checkpoint
 
 WEIGHTS = (5, 2, 1)
@@ -170,10 +170,13 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The documents of the mix: each as often as the words taken of it come to whole passes,
     rounded to the nearest. Columns stay as they are; documents without words are not taken."""
-    rows = reliable_checkpoint(docs.withColumn("_row", F.monotonically_increasing_id()))
-    narrow = rows.select("_row", "doc_id", F.array("source").alias("_members"), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_text"))
+    row, number, again = free_names(docs, "_row", "_n", "_pass")
+    rows = reliable_checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = rows.select(
+        F.col(row).alias("_row"), "doc_id", F.array("source").alias("_members"), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_text")
+    )
     mixed = mix(reliable_checkpoint(narrow), "_members", "_size", ["doc_id", "_text"], seed=seed)
     passes = F.floor(F.col("taken") / F.col("_size") + 0.5).cast("int")
-    copies = mixed.where(F.col("taken") > 0).select("_row", passes.alias("_n")).where("_n > 0")
-    found = rows.join(reliable_checkpoint(copies), "_row")
-    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_pass")).select(*docs.columns)
+    copies = mixed.where(F.col("taken") > 0).select(F.col("_row").alias(row), passes.alias(number)).where(F.col(number) > 0)
+    found = rows.join(reliable_checkpoint(copies), row)
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(number))).alias(again)).select(*docs.columns)
