@@ -33,6 +33,16 @@ def op4_length_buckets(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+#: The other operators hash, learn or follow queues, which SQL cannot restate; the tests hold
+#: them against brute force, held-out languages and round trips.
+ORACLES["op7_exact_dedup"] = r"""
+WITH flat AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS content FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept, sha256(content) AS text_sha256
+FROM flat WINDOW same AS (PARTITION BY content)
+"""
+
+
 @query
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_table(documents(spark, sf_dir))
