@@ -260,7 +260,7 @@ PAGE = (
 
 def test_wrappers(spark):
     pages = [(i, f"http://h{i % 2}.example/{i}", PAGE % ("<p>more</p>" * i)) for i in range(12)]
-    pages += [(90, None, "<p>plain"), (91, "http://h1.example/x", None), (92, "http://h0.example/cut", (PAGE % "")[:330]), (0, pages[0][1], pages[0][2])]
+    pages += [(90, None, "<p>plain"), (91, "http://h1.example/x", None), (92, "http://h0.example/cut", (PAGE % "")[:330]), (93, "http://h0.example/cut", PAGE[: PAGE.index("ld<br>")]), (0, pages[0][1], pages[0][2])]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = defaultdict(set)
     for r in wrappers.extract_pages(frame).collect():
@@ -356,3 +356,15 @@ def test_language(spark, empty):
     assert language.language_table(empty).count() == 0
     unlearnt = language.language_table(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")).first()
     assert unlearnt["lang_pred"] == "und"
+
+
+def test_clashing_columns_stay(docs):
+    """Columns named like the operators' own are carried through unchanged."""
+    names = ["id", "tie", "count", "_id", "_tie", "_count", "_own", "_row", "_n", "_pass", "__language", "_TIE_"]
+    wide = reliable_checkpoint(docs.select("*", *[F.lit(n).alias(n) for n in names]))
+    model = language.fit_documents(docs)
+    assert model.langs
+    for kept in (exact_dedup.drop_copies(wide), simhash.keep_one(wide), mixing.take_mix(wide), language.keep_known(wide)):
+        assert kept.columns == wide.columns
+        left = kept.collect()
+        assert left and all(r[n] == n for r in left for n in names)
