@@ -149,8 +149,12 @@ def assign_sites(lookups: DataFrame, sites: DataFrame, max_distance: int = 2, ex
     back keeps row counts, and a name that makes up much of the log is split by adaptive skew
     handling.
     """
+    return with_sites(lookups, match_names(lookups, sites, max_distance, extra_labels))
+
+
+def with_sites(lookups: DataFrame, matched: DataFrame) -> DataFrame:
+    """Lookups joined with the sites that ``match_names`` found for their names."""
     rest = [c for c in lookups.columns if c not in ("target", "rank", "distance")]
-    matched = match_names(lookups, sites, max_distance, extra_labels)
     return lookups.select(*rest).join(matched, "qname").select(*rest, "target", "rank", "distance")
 
 

@@ -49,10 +49,12 @@ def pair_ratios(
 
 def typo_stats(counts: DataFrame, window_s: int = WINDOW_S, bin_s: int = BIN_S) -> DataFrame:
     """(typo, target, single_count, pair_count, mean_delay, exists) of look-alikes with at
-    least one pair among the lookups that no cached answer hides."""
+    least one pair among the lookups that no cached answer hides. One that was only looked up
+    through deeper names has no log of its own and is left out."""
     pairs = pair_totals(visible_counts(counts, bin_s), 0, window_s, bin_s)
     facts = counts.where(F.col("suffix") != F.col("target")).groupBy("target", F.col("suffix").alias("typo"))
     facts = facts.agg(F.sum("own_n").alias("single_count"), (F.sum("own_ttl") != 0).alias("exists"))
+    facts = facts.where(F.col("single_count") > 0)
     mean = F.try_divide(F.col("delay_sum").cast("double"), F.col("pair_count").cast("double"))
     return pairs.join(facts, ["target", "typo"]).select(
         "typo", "target", "single_count", "pair_count", mean.alias("mean_delay"), "exists"

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from nearname.functions.distance import osa
 from nearname.functions.names import name_suffix
 from nearname.functions.once import distinct_with
+from nearname.operators.skew import salted_join
 
 WINDOW_S = 60
+SPLIT_ROWS = 50_000  # rows of one source and bin on either side before they are cut into pieces
 
 
 def near_name_seconds(site_log: DataFrame, max_distance: int = 2) -> DataFrame:
@@ -35,7 +37,7 @@ def name_counts(seconds: DataFrame) -> DataFrame:
     return per_name.join(total, "target").select("target", "name", "lookups", "site_lookups")
 
 
-def covered_counts(seconds: DataFrame, low: int, high: int) -> DataFrame:
+def covered_counts(seconds: DataFrame, low: int, high: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(target, a, b, n): lookups of b with some lookup of a by the same source such that
     low <= ts(b) - ts(a) <= high; a and b differ."""
     width = high - low + 1
@@ -54,7 +56,11 @@ def covered_counts(seconds: DataFrame, low: int, high: int) -> DataFrame:
     tails = seconds.select(
         "target", "src_ip", F.col("name").alias("b"), "ts", "n", F.floor(F.col("ts") / width).alias("_bin")
     )
-    met = stretches.join(tails, ["target", "src_ip", "_bin"]).where(
+    # A source with very many names in one bin is cut into a grid of pieces. Stretches are at
+    # most as many as pieces, which are counted without the window.
+    key = ["target", "src_ip", "_bin"]
+    met = salted_join(tails, stretches, key, split_rows, small_sizes=pieces.groupBy(*key).count())
+    met = met.where(
         F.col("ts").between(F.col("lo"), F.col("hi")) & (F.col("a") != F.col("b"))
     )
     return met.groupBy("target", "a", "b").agg(F.sum("n").alias("n"))

@@ -104,7 +104,7 @@ def ingest_rr(spark, sf):
 
 @query
 def ingest_rejects(spark, sf):
-    return rejects_of(parse_lines(raw_lines(spark, sf), keep=["lookup_id"]), keep=["lookup_id"])
+    return rejects_of(parse_lines(raw_lines(spark, sf), keep=["lookup_id"], sections=False), keep=["lookup_id"])
 
 
 @query
@@ -118,7 +118,7 @@ def export_roundtrip(spark, sf):
 
 @query
 def count_log(spark, sf):
-    return stats.count_rows(lookups_of(parse_lines(raw_lines(spark, sf))))
+    return stats.count_rows(lookups_of(parse_lines(raw_lines(spark, sf), sections=False)))
 
 
 @query

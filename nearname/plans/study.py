@@ -5,6 +5,7 @@ raw logs -> site logs -> candidates -> ratios, existence, pair statistics -> sum
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,27 +14,31 @@ from pyspark.sql import functions as F
 
 from nearname.operators.existence import exists_by_rules, with_status
 from nearname.operators.extract import lookups_at_site_depth, unpopular
-from nearname.operators.fuzzy import assign_sites
+from nearname.operators.fuzzy import match_names, with_sites
 from nearname.operators.pairs import WINDOW_S
 from nearname.operators.seconds import second_counts
 from nearname.operators.stats import delay_by_exists, pair_ratios, summary_by_exists, typo_stats
-from nearname.session import reliable_checkpoint
+from nearname.session import reliable_checkpoint, scratch
 from nearname.sources.logs import read_logs
 from nearname.sources.sinks import write_table_by
 
 
 def build_site_logs(
-    spark: SparkSession, paths: str | Sequence[str], sites: DataFrame, out: str, mode: str = "append", **options
+    spark: SparkSession, paths: str | Sequence[str], sites: DataFrame, out: str, load: str | None = None, **options
 ) -> DataFrame:
     """Raw logs to the table of lookups by site, written once and read by every report.
 
-    The parsed lookups are written first: matching reads the names alone and then the rows,
-    and text is parsed only once.
+    Names are read from the headers alone and matched first; records are parsed only on the
+    way into the table. Each load has a folder of its own, named by ``load`` or else by its
+    paths, and replaces it: a load that is run again does not double its rows.
     """
-    lookups = reliable_checkpoint(read_logs(spark, paths, **options))
-    matched = assign_sites(lookups, sites)
-    write_table_by(matched, ["target"], out, mode)
-    return spark.read.parquet(out)
+    if load is None:
+        load = "paths-" + hashlib.sha256("\n".join([paths] if isinstance(paths, str) else paths).encode()).hexdigest()[:16]
+    with scratch(spark):
+        names = reliable_checkpoint(match_names(read_logs(spark, paths, sections=False, **options), sites))
+        matched = with_sites(read_logs(spark, paths, **options), names)
+        write_table_by(matched, ["target"], f"{out}/load={load}", "overwrite")
+    return spark.read.parquet(out).drop("load")
 
 
 @dataclass
@@ -59,7 +64,8 @@ def study(
     """All reports of a site log.
 
     The log is condensed to seconds once and that table is written; the reports read it
-    instead of the log. Only existence by rules goes back to the rows it needs.
+    instead of the log. Only existence by rules goes back to the rows it needs. Within
+    ``session.scratch`` the written tables are deleted when the results have been used.
     """
     counts = condensed(site_log)
     names = counts.where(F.col("suffix") != F.col("target")).select("target", F.col("suffix").alias("candidate")).distinct()

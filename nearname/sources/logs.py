@@ -121,12 +121,13 @@ def _section(tokens: Column, rows: Column, number: int) -> Column:
     return F.transform(F.filter(rows, lambda r: r["section"] == number), record)
 
 
-def parse_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = ()) -> DataFrame:
+def parse_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = (), sections: bool = True) -> DataFrame:
     """All lines with their parsed fields and, for unusable lines, a ``reject_reason``.
 
     Runs of commas count as one separator. A name may be quoted and then hold commas; a name
     with one stray comma is put together again without it when its type field would otherwise
-    be no number. ``keep`` carries further columns of the input along.
+    be no number. ``keep`` carries further columns of the input along. Counts, names and rejects
+    need the header alone: without ``sections`` the records are neither looked for nor returned.
     """
     keep = [*keep, line]
     # Tokens, header and rows are each computed once; what follows only picks from them.
@@ -135,16 +136,11 @@ def parse_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = ())
     rows = once(rows, "num", F.transform(F.col("p.asked"), lambda token: _integer(token, "bigint")))
     rows = once(rows, "h", _header())
     usable = F.col("h.reason").isNull()
-    rows = once(rows, "body", F.when(usable, F.slice("t", F.col("h.type_at") + 3, F.size("t"))))
-    # Most lookups carry no records at all, and a line may end before its sections.
-    empty = (F.size("body") == 0) | (F.array_join(F.slice("body", 1, 3), ",") == "0,0,0")
-    rows = once(rows, "found", F.when(usable & ~empty, _rows(F.col("body"))))
-    nothing = F.array().cast(LOOKUP["answer"].dataType)
 
     def token(i: int) -> Column:
         return F.get("t", F.lit(i))
 
-    return rows.select(
+    header = [
         *keep,
         F.get("num", F.lit(0)).alias("ts"),
         F.when(usable, F.get("num", F.lit(1)).cast("int")).alias("typ"),
@@ -154,6 +150,16 @@ def parse_lines(lines: DataFrame, line: str = "line", keep: Sequence[str] = ())
         F.when(usable, F.get("num", F.col("h.number_at")).cast("int")).alias("qtype"),
         F.when(usable, F.get("num", F.col("h.number_at") + 1).cast("int")).alias("rcode"),
         F.col("h.reason").alias("reject_reason"),
+    ]
+    if not sections:
+        return rows.select(*header)
+    rows = once(rows, "body", F.when(usable, F.slice("t", F.col("h.type_at") + 3, F.size("t"))))
+    # Most lookups carry no records at all, and a line may end before its sections.
+    empty = (F.size("body") == 0) | (F.array_join(F.slice("body", 1, 3), ",") == "0,0,0")
+    rows = once(rows, "found", F.when(usable & ~empty, _rows(F.col("body"))))
+    nothing = F.array().cast(LOOKUP["answer"].dataType)
+    return rows.select(
+        *header,
         *[
             F.when(usable, F.coalesce(_section(F.col("body"), F.col("found"), n), nothing)).alias(s)
             for n, s in enumerate(SECTIONS)
@@ -220,7 +226,9 @@ def _header() -> Column:
 
 
 def lookups_of(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return parsed.where(F.col("reject_reason").isNull()).select(*keep, *LOOKUP.fieldNames())
+    """Usable lines, with the fields that ``parsed`` has."""
+    fields = [f for f in LOOKUP.fieldNames() if f in parsed.columns]
+    return parsed.where(F.col("reject_reason").isNull()).select(*keep, *fields)
 
 
 def rejects_of(parsed: DataFrame, line: str = "line", keep: Sequence[str] = ()) -> DataFrame:
@@ -229,6 +237,6 @@ def rejects_of(parsed: DataFrame, line: str = "line", keep: Sequence[str] = ())
     )
 
 
-def read_logs(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
-    """Typed lookups of raw log files."""
-    return lookups_of(parse_lines(read_lines(spark, paths, **options)))
+def read_logs(spark: SparkSession, paths: str | Sequence[str], sections: bool = True, **options) -> DataFrame:
+    """Typed lookups of raw log files; without ``sections`` their header fields alone."""
+    return lookups_of(parse_lines(read_lines(spark, paths, **options), sections=sections))

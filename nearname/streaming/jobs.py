@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nearname.operators.fuzzy import assign_sites
+from nearname.operators.fuzzy import match_names, with_sites
 from nearname.operators.pairs import WINDOW_S
 from nearname.operators.seconds import GROUP, with_keys
+from nearname.session import reliable_checkpoint, scratch
 from nearname.sources.logs import lookups_of, parse_lines
 
 FILES_PER_ROUND = 4
@@ -52,12 +53,12 @@ def ingest_by_site(
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        # Read for the names and again for the rows: parsed once.
-        lookups = lookups_of(parse_lines(batch)).persist()
-        matched = assign_sites(lookups, sites, max_distance)
-        # One file per site, more only where a site's rows fill several tasks.
-        matched.hint("rebalance", "target").write.mode("overwrite").partitionBy("target").parquet(f"{out}/round={batch_id}")
-        lookups.unpersist()
+        # Names come from the headers; records are parsed once, on the way out.
+        with scratch(batch.sparkSession):
+            headers = lookups_of(parse_lines(batch, sections=False))
+            matched = with_sites(lookups_of(parse_lines(batch)), reliable_checkpoint(match_names(headers, sites, max_distance)))
+            # One file per site, more only where a site's rows fill several tasks.
+            matched.hint("rebalance", "target").write.mode("overwrite").partitionBy("target").parquet(f"{out}/round={batch_id}")
 
     return (
         lines.writeStream.foreachBatch(add)

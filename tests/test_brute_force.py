@@ -117,7 +117,8 @@ def test_near_pairs(spark, random_log):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_transitions(spark, random_log):
+@pytest.mark.parametrize("split_rows", [3, 50_000])
+def test_transitions(spark, random_log, split_rows):
     rows, log = random_log
     seconds = transitions.near_name_seconds(log)
     for low, high in ((1, 59), (-59, -1)):
@@ -125,7 +126,7 @@ def test_transitions(spark, random_log):
         for b in rows:
             for a in {r[3] for r in rows if r[2] == b[2] and r[3] != b[3] and low <= b[1] - r[1] <= high}:
                 want[(a, b[3])] = want.get((a, b[3]), 0) + 1
-        got = {(r["a"], r["b"]): r["n"] for r in transitions.covered_counts(seconds, low, high).collect()}
+        got = {(r["a"], r["b"]): r["n"] for r in transitions.covered_counts(seconds, low, high, split_rows).collect()}
         assert got == want
 
 

@@ -1,14 +1,18 @@
 """Sinks, streams and the whole study through files."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from nearname.operators import pairs
 from nearname.operators.extract import candidate_lines, observed_candidates
 from nearname.operators.seconds import second_counts
+from nearname.operators.stats import typo_stats
 from nearname.plans.study import build_site_logs, study
+from nearname.session import scratch
 from nearname.sources import lists, sinks
 from nearname.sources.events import SITES, log_lines_from_events, lookups_from_events, popular_sites, watched_sites
-from nearname.sources.logs import read_logs
+from nearname.sources.logs import lookups_of, parse_lines, read_logs, rejects_of
 from nearname.streaming import jobs
 from tests.test_brute_force import FIXTURE, as_log
 
@@ -103,10 +107,43 @@ def test_stream_pairs_bounds(spark, tmp_path):
     assert sorted(r["delay_s"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 30, 60]
 
 
+def test_counts_need_no_sections(spark):
+    lines = log_lines_from_events(spark.read.parquet(EVENTS))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    fold = "aggregate("
+    assert fold in plan(lookups_of(parse_lines(lines)))
+    header = parse_lines(lines, sections=False)
+    assert fold not in plan(lookups_of(header)) and fold not in plan(rejects_of(header))
+    full = parse_lines(lines)
+    assert lookups_of(header).exceptAll(lookups_of(full).select(*lookups_of(header).columns)).isEmpty()
+    assert lookups_of(header).count() == lookups_of(full).count()
+    assert as_set(rejects_of(header), "line", "reason") == as_set(rejects_of(full), "line", "reason")
+
+
+def test_stats_leave_out_names_never_looked_up_themselves(spark):
+    # id, ts, source, name: the look-alike is seen through a deeper name alone.
+    rows = [(1, 1000, "10.1.0.5", "a.www.gogle.com.", None), (2, 1030, "10.1.9.9", "google.com.", None)]
+    assert typo_stats(second_counts(as_log(spark, rows))).count() == 0
+    rows.append((3, 1010, "10.1.0.5", "www.gogle.com.", None))
+    assert [r["single_count"] for r in typo_stats(second_counts(as_log(spark, rows))).collect()] == [1]
+
+
 def test_study_from_raw_files(spark, tmp_path):
     lines = log_lines_from_events(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
     lines.select("line").write.option("compression", "gzip").text(str(tmp_path / "raw"))
+    held = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(held))
     site_log = build_site_logs(spark, str(tmp_path / "raw"), watched_sites(spark), str(tmp_path / "sites"))
+    once = site_log.count()
+    again = build_site_logs(spark, str(tmp_path / "raw"), watched_sites(spark), str(tmp_path / "sites"))
+    assert again.count() == once > 0
+    site_log = again
+    with scratch(spark):
+        study_results(spark, site_log)
+    assert set(os.listdir(held)) == before
+
+
+def study_results(spark, site_log):
     assert {r["target"] for r in site_log.select("target").distinct().collect()} == {f"{s}." for s in SITES}
     done = study(site_log, popular_sites(spark), order=("ts", "src_ip", "qname", "qtype"), min_ratio=0.02, min_pair_ratio=0.01)
     # A look-alike seen only as the tail of deeper names has no lookups to judge it by.
