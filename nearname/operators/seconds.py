@@ -52,6 +52,13 @@ def second_counts(site_log: DataFrame, extra_labels: int = 1) -> DataFrame:
     )
 
 
+def add_counts(parts: DataFrame) -> DataFrame:
+    """Second counts of a log from second counts of its parts."""
+    return parts.groupBy(*GROUP, "ts", "suffix").agg(
+        *[F.sum(c).alias(c) for c in ("n", "own_n", "own_ttl")], F.max("expiry").alias("expiry")
+    )
+
+
 _FOLDS = {"sum": F.sum, "max": F.max}
 
 

@@ -414,5 +414,6 @@ SELECT s.line || ';;' || t.line AS line FROM log x JOIN osa ON x.suffix = a AND
         "features_from_text": "SELECT vec_id AS name, len(embedding)::integer AS dims, round(list_sum(cast(embedding AS double[])), 5) AS total FROM embeddings",
         "stream_ingest_by_site": f"WITH RECURSIVE {assign} SELECT target, qname, distance, count(*) AS lookups FROM assigned GROUP BY ALL",
         "stream_pairs": f"WITH {tagged} SELECT a.target, a.net16, a.suffix AS typo, a.lookup_id, a.ts AS typo_ts, b.ts AS target_ts, b.ts - a.ts AS delay_s FROM log a JOIN log b ON a.target = b.target AND a.net16 = b.net16 AND b.suffix = b.target AND a.suffix <> a.target AND b.ts - a.ts BETWEEN 0 AND 60",
+        "stream_pairs_visible": f"WITH {tagged} SELECT a.target, a.net16, a.suffix AS typo, a.lookup_id, a.ts AS typo_ts, b.ts AS target_ts, b.ts - a.ts AS delay_s FROM visible a JOIN visible b ON a.target = b.target AND a.net16 = b.net16 AND b.suffix = b.target AND a.suffix <> a.target AND b.ts - a.ts BETWEEN 0 AND 60",
     }
     return {name: textwrap.dedent(text).strip() for name, text in sql.items()}

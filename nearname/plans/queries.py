@@ -660,13 +660,28 @@ def stream_ingest_by_site(spark, sf):
     return jobs.read_by_site(spark, out).groupBy("target", "qname", "distance").agg(F.count("*").alias("lookups"))
 
 
+def _streamed_log(spark: SparkSession, sf: str, reader) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return lookups_from_events(reader.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def _streamed_pairs(spark: SparkSession, sf: str, keep: list[str]) -> DataFrame:
+    typos, targets = jobs.split_site_stream(_streamed_log(spark, sf, jobs.state_session(spark).readStream))
+    out = work_dir(spark, "pairs")
+    jobs.run_to_table(jobs.stream_pairs(typos, targets, keep=keep), out, work_dir(spark, "progress")).awaitTermination()
+    return spark.read.parquet(out).select("target", "net16", "typo", *keep, "typo_ts", "target_ts", "delay_s")
+
+
 @query
 def stream_pairs(spark, sf):
     """Pairs found while the log streams in, cached answers not considered."""
-    schema = table(spark, sf, "events").schema
-    reader = jobs.state_session(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    typos, targets = jobs.split_site_stream(lookups_from_events(reader.parquet(sf)))
-    found = jobs.stream_pairs(typos, targets, keep=["lookup_id"])
-    out = work_dir(spark, "pairs")
-    jobs.run_to_table(found, out, work_dir(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select("target", "net16", "typo", "lookup_id", "typo_ts", "target_ts", "delay_s")
+    return _streamed_pairs(spark, sf, ["lookup_id"])
+
+
+@query
+def stream_pairs_visible(spark, sf):
+    """Pairs found while the log streams in, those left out that a cached answer hides."""
+    out = work_dir(spark, "counts")
+    jobs.count_seconds(_streamed_log(spark, sf, spark.readStream), out, work_dir(spark, "progress")).awaitTermination()
+    found = _streamed_pairs(spark, sf, ["lookup_id"])
+    return jobs.visible_stream_pairs(found, jobs.read_second_counts(spark, out))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from nearname.operators.cache import hidden_seconds
 from nearname.operators.fuzzy import match_names, with_sites
 from nearname.operators.pairs import WINDOW_S
-from nearname.operators.seconds import GROUP, with_keys
+from nearname.operators.seconds import BIN_S, GROUP, add_counts, second_counts, with_keys
 from nearname.session import reliable_checkpoint, scratch
 from nearname.sources.logs import lookups_of, parse_lines
 
@@ -87,7 +88,9 @@ def stream_pairs(
     spread over many state stores; ``pieces`` repeats look-alike rows and is for bins too large
     for one. By default every pair is found however late its rows arrive, and state is kept.
     With ``lateness`` a bin's state goes once the watermark has passed it, and rows that come
-    later than that find no partner. Cached answers are not considered here.
+    later than that find no partner. Whether a cached answer hides a pair depends on earlier
+    lookups that may still arrive, so pairs are written as found; ``visible_stream_pairs``
+    leaves the hidden ones out when they are read.
     """
     late = (lambda df, at: df.withWatermark(at, lateness)) if lateness else (lambda df, at: df)
     width = window_s + 1
@@ -126,6 +129,41 @@ def split_site_stream(site_log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return typos, rows.where(F.col("suffix") == F.col("target"))
 
 
+def count_seconds(site_log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Condense a streamed site log to second counts, one folder per round at ``out``.
+
+    Counts of rounds add up, so no state is kept and rows may come in any order; a round that
+    is run again replaces its own folder.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        second_counts(batch).write.mode("overwrite").parquet(f"{out}/round={batch_id}")
+
+    return (
+        site_log.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_second_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Second counts of all rounds so far."""
+    return add_counts(spark.read.parquet(out).drop("round"))
+
+
+def visible_stream_pairs(found: DataFrame, counts: DataFrame, bin_s: int = BIN_S) -> DataFrame:
+    """Rows of ``stream_pairs`` of which no cached answer hides either lookup.
+
+    ``counts`` are the second counts of all rows that have arrived. However late these came,
+    the result is that of the batch job over the same rows.
+    """
+    hidden = hidden_seconds(counts, bin_s)
+    for at in ("typo_ts", "target_ts"):
+        found = found.join(hidden.withColumnRenamed("ts", at), [*GROUP, at], "left_anti")
+    return found
+
+
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append a stream's rows to a Parquet table until all present input is used."""
     return (

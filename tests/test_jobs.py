@@ -107,6 +107,30 @@ def test_stream_pairs_bounds(spark, tmp_path):
     assert sorted(r["delay_s"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 30, 60]
 
 
+def test_streamed_pairs_and_late_answers(spark, tmp_path):
+    """Rounds out of order: the answers that hide lookups come last."""
+    log = as_log(spark, FIXTURE)
+    raw, read = str(tmp_path / "in"), lambda name: spark.read.parquet(str(tmp_path / name))
+    early = F.col("lookup_id").isin(2, 4)
+
+    def both():
+        site_log = lambda: spark.readStream.schema(log.schema).parquet(raw)
+        jobs.count_seconds(site_log(), str(tmp_path / "counts"), str(tmp_path / "s1")).awaitTermination()
+        found = jobs.stream_pairs(*jobs.split_site_stream(site_log()))
+        jobs.run_to_table(found, str(tmp_path / "pairs"), str(tmp_path / "s2")).awaitTermination()
+        counts = jobs.read_second_counts(spark, str(tmp_path / "counts"))
+        return jobs.visible_stream_pairs(read("pairs"), counts), counts
+
+    for part in (log.where(~early), log.where(early)):
+        part.coalesce(1).write.mode("append").parquet(raw)
+        visible, counts = both()
+        seen = spark.read.parquet(raw)
+        batch = pairs.visible_pairs(seen, second_counts(seen))
+        assert as_set(visible, "typo_ts", "target_ts") == as_set(batch, "typo_ts", "target_ts")
+        assert counts.exceptAll(second_counts(seen).select(*counts.columns)).isEmpty()
+    assert read("pairs").count() > visible.count() > 0
+
+
 def test_counts_need_no_sections(spark):
     lines = log_lines_from_events(spark.read.parquet(EVENTS))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
