@@ -19,7 +19,7 @@ from nearname.operators import cluster, existence, extract, fuzzy, pairs, stats,
 from nearname.operators.cache import hidden_lookups
 from nearname.operators.candidates import candidate_hits, typo_candidates
 from nearname.plans.study import condensed
-from nearname.session import reliable_checkpoint, spread, work_dir
+from nearname.session import reliable_checkpoint, work_dir
 from nearname.sources.events import log_lines_from_events, lookups_from_events, popular_sites, watched_sites
 from nearname.functions.sql import register
 from nearname.schema import RATIO_STATUS, TYPO_STATS
@@ -59,7 +59,11 @@ def query(run: Query) -> Query:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
+    """A given table. These come as one file of few row groups, which would leave most cores idle;
+    its rows are dealt out. A table of many files is left as it is read."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
 def site_log(spark: SparkSession, sf: str) -> DataFrame:

@@ -69,15 +69,6 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFra
     return spark.createDataFrame(table, schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out over the cores when the files would give work to only a few of them.
-
-    Meant for small tables in few files; a table with enough files is left as it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
