@@ -25,7 +25,7 @@ SAMPLE = 16_384
 BRANCHES = 8
 LEAF_SAMPLE = 24
 TRIALS = 128
-RECALL = 0.95
+RECALL = 0.97
 MEMBERS, ASKERS = 8192, 512  # vectors and queries that meet in one task
 
 

@@ -250,6 +250,17 @@ def test_tree_search(spark):
     assert ann.search_embeddings(frame.limit(0)).count() == 0
 
 
+def test_tree_search_reaches_its_recall(spark):
+    # Without clusters the neighbours lie in many leaves, and all queries are trial queries.
+    vectors = np.random.default_rng(2).normal(size=(2000, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search_embeddings(frame).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got[q] & set([i for i in np.argsort(-(vectors @ vectors[q])) if i != q][:20])) for q in got)
+    assert len(got) == 100 and hits >= 0.97 * 20 * len(got)
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t='</p>';</script></head><body>"
     '<nav><ul><li><a href="/">home</a></li></ul></nav><div class="sidebar">side</div><!-- no <p> here -->'
