@@ -34,6 +34,7 @@ CHROME_WORDS = frozenset(
     "subscribe toolbar widget".split()
 )
 MAIN_WORDS = frozenset(["article", "main"])
+UNJUDGED = frozenset(["html", "body", "main", "article"])  # marks on these speak of the whole page
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -42,7 +43,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
-MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+MARKS = frozenset(["class", "id", "role"])
 SPACES = re.compile(r"\s+")
 
 
@@ -59,7 +61,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if m[2] or m[5]:
             yield "close", name.lower(), ""
         else:
-            marks = [x.strip("\"'") for x in MARK.findall(m[4] or m[7] or "")]
+            marks = [x.strip("\"'") for key, x in ATTRIBUTE.findall(m[4] or m[7] or "") if key.lower() in MARKS]
             yield "open", name.lower(), " ".join(marks).lower()
     if at < len(page) and not page.startswith("<", at):
         yield "text", "", page[at:]
@@ -82,7 +84,7 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
                 if stack[i][0] not in INLINE:
                     break
             if name not in VOID:
-                sign = "" if name in INLINE else name + "".join("." + w for w in sorted(set(re.split(r"[^a-z0-9]+", value))) if w)
+                sign = "" if name in INLINE else name + "".join("." + w for w in sorted({re.sub(r"[^a-z0-9_-]+", "_", w) for w in value.split()}))
                 stack.append((name, sign))
                 if name not in INLINE:
                     yield "open", sign, ""
@@ -218,7 +220,7 @@ def _steps(path: str) -> list[list[str]]:
 
 
 def is_chrome(path: str) -> bool:
-    return any(s[0] in CHROME or not CHROME_WORDS.isdisjoint(s[1:]) for s in _steps(path))
+    return any(s[0] in CHROME or (s[0] not in UNJUDGED and not CHROME_WORDS.isdisjoint(s[1:])) for s in _steps(path))
 
 
 def main_slots(paths: list[str]) -> list[str]:

@@ -288,6 +288,21 @@ def test_wrappers(spark):
     assert wrappers.extract_pages(frame.limit(0)).count() == 0
 
 
+def texts_of(spark, pages):
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.extract_pages(frame).orderBy("page_id").collect()]
+
+
+def test_wrappers_judge_whole_marks(spark):
+    bodies = [
+        '<body class="has-sidebar"><article>text</article>', '<body class="sidebar"><p>text', '<html class="no-sidebar custom-header"><p>text',
+        '<div class="page with-sidebar"><p>text</p></div>', '<article class="post social-policy">text</article>', '<article class="social">text</article>',
+        '<div id="share-prices">text</div>', '<div data-id="ad" data-role="banner" title=\'x class="ad"\'>text</div>', '<main id=related>text</main>',
+        '<div class="post w-1/2 (x)+ a.b">text</div>', '<p>text</p><div class="x AD">no</div><div id=\'sidebar\'>no</div><div role=banner>no</div>',
+    ]
+    assert texts_of(spark, [(f"http://h{i}.example/", b) for i, b in enumerate(bodies)]) == ["text"] * len(bodies)
+
+
 def test_alignment_has_optionals_and_repeats():
     a, b = ("<ul", "<li", "/li", "/ul"), tuple(wrappers.fold(["<ul", *["<li", "/li"] * 3, "/ul", "<p", "/p"]))
     assert wrappers.show(wrappers.align(a, b)) == "<ul (<li /li)+ /ul (<p)? (/p)?"
