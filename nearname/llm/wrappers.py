@@ -5,7 +5,7 @@ repeats are folded into groups, which leaves few distinct rows per host; these a
 first, and then aligned in rounds until one expression per host matches all of them. What only
 one side has becomes optional, what one side repeats becomes a repeated group, and text is a
 slot, so the expression is free of unions. Slots are then judged once per host by the elements
-around them, and every page is read through its host's wrapper.
+around them, and every page is read through its host's wrapper, by the layout that it has itself.
 """
 
 from __future__ import annotations
@@ -223,24 +223,35 @@ def is_chrome(path: str) -> bool:
     return any(s[0] in CHROME or (s[0] not in UNJUDGED and not CHROME_WORDS.isdisjoint(s[1:])) for s in _steps(path))
 
 
-def main_slots(paths: list[str]) -> list[str]:
-    """Slots of a wrapper that hold the article: those inside article or main elements (or such
-    marks) where the host has any, otherwise all in the body, without what is around it."""
+def main_slots(paths: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """(clean, inside): slots of a wrapper that may hold the article, and those of them inside
+    article or main elements (or such marks)."""
     clean = [p for p in paths if not is_chrome(p)]
-    inside = [p for p in clean if any(not MAIN_WORDS.isdisjoint(s) for s in _steps(p))]
-    return inside or clean
-
-
-def extract(page: str, wanted: frozenset[str]) -> str:
-    """Text of the wanted slots: white space as one blank, blocks joined by one."""
-    out: list[str] = []
-    for kind, name, value in walk(page):
+    return frozenset(clean), frozenset(p for p in clean if any(not MAIN_WORDS.isdisjoint(s) for s in _steps(p)))
+
+
+def pieces(page: str) -> list[tuple[str | None, str]]:
+    """(path, text) in page order, and (None, " ") where a block ends or begins."""
+    out: list[tuple[str | None, str]] = []
+    held: list[str] = []
+    at: str | None = None
+    for kind, name, value in [*walk(page), ("end", "", "")]:
+        if held and (kind != "text" or name != at):
+            out.append((at, "".join(held)))
+            held = []
         if kind == "text":
-            if name in wanted:
-                out.append(entities.unescape(value))
+            at = name
+            held.append(entities.unescape(value))
         else:
-            out.append(" ")
-    return SPACES.sub(" ", "".join(out)).strip()
+            out.append((None, " "))
+    return out
+
+
+def main_text(found: list[tuple[str | None, str]], clean: frozenset[str], inside: frozenset[str]) -> str:
+    """White space as one blank, blocks joined by one. A page is read by its own layout: inside
+    article or main where it has text there, otherwise all that is clean."""
+    wanted = inside if any(path in inside and not text.isspace() for path, text in found) else clean
+    return SPACES.sub(" ", "".join(text for path, text in found if path is None or path in wanted)).strip()
 
 
 def host_of(url: Column) -> Column:
@@ -287,13 +298,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     met = placed.join(wrappers, "host")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, frozenset[str]] = {}
+        known: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
         for b in batches:
             texts = []
             for page, wrapper in zip(b["html"], b["wrapper"]):
                 if wrapper not in known:
-                    known[wrapper] = frozenset(main_slots(slots(parse(wrapper))))
-                texts.append(extract(page or "", known[wrapper]))
+                    known[wrapper] = main_slots(slots(parse(wrapper)))
+                texts.append(main_text(pieces(page or ""), *known[wrapper]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": b["host"]})
 
     return met.mapInPandas(read, "page_id long, url string, text string, n_chars long, host string")

@@ -303,6 +303,12 @@ def test_wrappers_judge_whole_marks(spark):
     assert texts_of(spark, [(f"http://h{i}.example/", b) for i, b in enumerate(bodies)]) == ["text"] * len(bodies)
 
 
+def test_wrappers_of_a_host_with_two_layouts(spark):
+    new, old = "<nav>menu</nav><article><p>new %d</p></article><p>around</p>", "<nav>menu</nav><div class=post><p>old %d</p></div>"
+    pages = [(url, body % i) for url in ("http://h.example/", None) for i in range(3) for body in (new, old)] + [("http://h.example/e", "<article> </article><p>old 9")]
+    assert texts_of(spark, pages) == [f"{kind} {i}" for _ in range(2) for i in range(3) for kind in ("new", "old")] + ["old 9"]
+
+
 def test_alignment_has_optionals_and_repeats():
     a, b = ("<ul", "<li", "/li", "/ul"), tuple(wrappers.fold(["<ul", *["<li", "/li"] * 3, "/ul", "<p", "/p"]))
     assert wrappers.show(wrappers.align(a, b)) == "<ul (<li /li)+ /ul (<p)? (/p)?"
