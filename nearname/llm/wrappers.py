@@ -6,6 +6,7 @@ first, and then aligned in rounds until one expression per host matches all of t
 one side has becomes optional, what one side repeats becomes a repeated group, and text is a
 slot, so the expression is free of unions. Slots are then judged once per host by the elements
 around them, and every page is read through its host's wrapper, by the layout that it has itself.
+Outside article and main, text that is the same on all pages of a host belongs to its template.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import html as entities
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from nearname.session import reliable_checkpoint
 
 GROUP = 64  # rows aligned in one task and round
+FEWEST = 3  # different pages of a host that make a constant text its template's
+LEAST = 0.25  # of a page's clean text: what is left of a page that is no copy
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -219,6 +224,7 @@ def _steps(path: str) -> list[list[str]]:
     return [step.split(".") for step in path.split("/")]
 
 
+@lru_cache(65_536)
 def is_chrome(path: str) -> bool:
     return any(s[0] in CHROME or (s[0] not in UNJUDGED and not CHROME_WORDS.isdisjoint(s[1:])) for s in _steps(path))
 
@@ -247,11 +253,31 @@ def pieces(page: str) -> list[tuple[str | None, str]]:
     return out
 
 
-def main_text(found: list[tuple[str | None, str]], clean: frozenset[str], inside: frozenset[str]) -> str:
+def key_of(*words: str) -> int:
+    return int.from_bytes(blake2b("\0".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def block_key(path: str, text: str) -> int:
+    return key_of(path, SPACES.sub(" ", text).strip())
+
+
+def by_layout(found: list[tuple[str | None, str]], clean: frozenset[str], inside: frozenset[str]) -> frozenset[str]:
+    """``inside`` where the page has text there, otherwise ``clean``."""
+    return inside if any(path in inside and not text.isspace() for path, text in found) else clean
+
+
+def main_text(found: list[tuple[str | None, str]], clean: frozenset[str], inside: frozenset[str], constant: frozenset[int] = frozenset()) -> str:
     """White space as one blank, blocks joined by one. A page is read by its own layout: inside
-    article or main where it has text there, otherwise all that is clean."""
-    wanted = inside if any(path in inside and not text.isspace() for path, text in found) else clean
-    return SPACES.sub(" ", "".join(text for path, text in found if path is None or path in wanted)).strip()
+    article or main where it has text there, otherwise all that is clean without the ``constant``
+    blocks; if hardly anything is left then, the page is a copy, not a layout, and stays whole."""
+    wanted = by_layout(found, clean, inside)
+    join = lambda kept: SPACES.sub(" ", "".join(text for _, text in kept)).strip()
+    kept = [x for x in found if x[0] is None or x[0] in wanted]
+    whole = join(kept)
+    if not constant or wanted is inside:
+        return whole
+    varying = join(x for x in kept if x[0] is None or block_key(*x) not in constant)
+    return varying if len(varying) >= LEAST * len(whole) else whole
 
 
 def host_of(url: Column) -> Column:
@@ -287,24 +313,50 @@ def infer_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
         rows = reliable_checkpoint(dealt.groupBy("host", "piece").applyInPandas(lambda g: _align_all(g), "host string, wrapper string, pages long"))
 
 
+def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out: set[tuple[str, int, int, int]] = set()
+        for host, page in zip(b["host"], b["html"]):
+            found = pieces(page or "")
+            clean, inside = main_slots(list({path for path, _ in found if path is not None}))
+            if by_layout(found, clean, inside) is clean:
+                number = key_of(page or "")
+                for path, text in found:
+                    if path in clean and not text.isspace():
+                        slot = key_of(path)
+                        out |= {(host, slot, slot, number), (host, slot, block_key(path, text), number)}
+        yield pd.DataFrame(list(out), columns=["host", "slot", "block", "page"])
+
+
+def constant_blocks(pages: DataFrame) -> DataFrame:
+    """(host, constant): keys of the blocks that every page of a host with text in their slot has,
+    where these are FEWEST different pages or more. Pages read inside article or main, and pages
+    without a host, take no part. A host's keys are no more than its slots' blocks on one page."""
+    tall = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
+    seen = tall.mapInPandas(_block_keys, "host string, slot long, block long, page long").distinct()
+    met = reliable_checkpoint(seen.groupBy("host", "slot", "block").agg(F.count("*").alias("n")).where(F.col("n") >= FEWEST))
+    totals = met.where("slot = block").select("host", "slot", "n")
+    return met.where("slot <> block").join(totals, ["host", "slot", "n"]).groupBy("host").agg(F.collect_set("block").alias("constant"))
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, host) of every page.
 
     Null html counts as empty and gives empty text; pages without a host in their url share one
     wrapper. A page is read whole; repeated rows are read once each.
     """
-    wrappers = reliable_checkpoint(infer_wrappers(pages).select("host", "wrapper"))
+    wrappers = reliable_checkpoint(infer_wrappers(pages).select("host", "wrapper").join(constant_blocks(pages), "host", "left"))
     placed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     met = placed.join(wrappers, "host")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
+        known: dict[str, tuple[frozenset[str], frozenset[str], frozenset[int]]] = {}
         for b in batches:
             texts = []
-            for page, wrapper in zip(b["html"], b["wrapper"]):
-                if wrapper not in known:
-                    known[wrapper] = main_slots(slots(parse(wrapper)))
-                texts.append(main_text(pieces(page or ""), *known[wrapper]))
+            for host, page, wrapper, constant in zip(b["host"], b["html"], b["wrapper"], b["constant"]):
+                if host not in known:
+                    known[host] = (*main_slots(slots(parse(wrapper))), frozenset(() if constant is None else constant))
+                texts.append(main_text(pieces(page or ""), *known[host]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": b["host"]})
 
     return met.mapInPandas(read, "page_id long, url string, text string, n_chars long, host string")
