@@ -31,7 +31,9 @@ LEAST = 0.25  # of a page's clean text: what is left of a page that is no copy
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
-RAW = "script|style|template|noscript|textarea|title|iframe|select|object|svg"
+TO_END = frozenset("script style textarea title".split())  # raw text, to the end of the page if nothing ends it
+RAW = TO_END | frozenset("template noscript iframe select object svg".split())
+SELF_CLOSED = frozenset("object svg".split())
 CHROME = frozenset("nav header footer aside form button head script style template noscript textarea title iframe select object svg dialog label fieldset".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal "
@@ -44,31 +46,55 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 MARKS = frozenset(["class", "id", "role"])
+CUT = re.compile(r"</?[a-zA-Z]|</?\Z")  # a tag that the page ends in
 SPACES = re.compile(r"\s+")
 
 
+def raw_ends(page: str, name: str) -> dict[int, int]:
+    """Where the contents of each element of this name begin, and where its end tag ends. Those
+    of raw text end at the first end tag, the others are nested."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.finditer(rf"<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", page, re.IGNORECASE):
+        if not m[1]:
+            if not (name in SELF_CLOSED and m[2].endswith("/")):
+                opened.append(m.end())
+        elif opened:
+            if name in TO_END or name == "iframe":
+                ends |= dict.fromkeys(opened, m.end())
+                opened = []
+            else:
+                ends[opened.pop()] = m.end()
+    return ends
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, value) in page order: open (name, marks), close (name), text ("", raw)."""
     at = 0
-    for m in TOKEN.finditer(page):
+    ends: dict[str, dict[int, int]] = {}
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             yield "text", "", page[at : m.start()]
         at = m.end()
-        name = m[3] or m[6]
-        if name is None:
+        if m[2] is None and m[5] is None:
             continue
-        if m[2] or m[5]:
-            yield "close", name.lower(), ""
+        name = (m[2] or m[5]).lower()
+        if m[1] or m[4]:
+            yield "close", name, ""
+        elif name in RAW:
+            if name not in ends:
+                ends[name] = raw_ends(page, name)
+            at = ends[name].get(at, len(page) if name in TO_END else at)
         else:
-            marks = [x.strip("\"'") for key, x in ATTRIBUTE.findall(m[4] or m[7] or "") if key.lower() in MARKS]
-            yield "open", name.lower(), " ".join(marks).lower()
-    if at < len(page) and not page.startswith("<", at):
+            marks = [x.strip("\"'") for key, x in ATTRIBUTE.findall(m[3] or m[6] or "") if key.lower() in MARKS]
+            yield "open", name, " ".join(marks).lower()
+    if at < len(page) and not CUT.match(page, at):
         yield "text", "", page[at:]
 
 

@@ -322,6 +322,17 @@ def test_wrappers_leave_out_constant_text(spark):
     assert texts_of(spark, pages) == want
 
 
+def test_wrappers_keep_text_after_raw_elements(spark):
+    bodies = [
+        '<svg class="i" viewBox="0 0"/><p>text', "<object data=x /><p>text</p><svg><text>no</text></svg>", "<svg/><p>text</p><svg><g/></svg>",
+        "<div><select><option></div><p>text", "<select><p>text</p><select><option>no</select>", "<noscript><p>text", "<template><p>text", "<iframe src=x><p>text",
+        "<title-bar>text</title-bar>", "<select-box>text</select-box>", "<style-guide>text", "<style>no</style-guide>no</style >text", "<svg><svg>no</svg>no</svg>text",
+        "text<script>no", "text<style>no</styl", "<SCRIPT>'<svg>'</SCRIPT>text<svg>no</svg>", "text<!-- no", "text<textarea>no", "<title>no</title><p>text</p><a hre", "<p>text</p></",
+    ]
+    assert texts_of(spark, [(f"http://h{i}.example/", b) for i, b in enumerate(bodies)]) == ["text"] * len(bodies)
+    assert texts_of(spark, [("http://t.example/", "<b>a</b><3 thanks"), ("http://t.example/", "<p>< 5 percent")]) == ["a<3 thanks", "< 5 percent"]
+
+
 def test_alignment_has_optionals_and_repeats():
     a, b = ("<ul", "<li", "/li", "/ul"), tuple(wrappers.fold(["<ul", *["<li", "/li"] * 3, "/ul", "<p", "/p"]))
     assert wrappers.show(wrappers.align(a, b)) == "<ul (<li /li)+ /ul (<p)? (/p)?"
