@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_S = 300
+MOST_BUCKETS = 1_000_000  # about ten years; as a broadcast, some tens of MB
 
 
 def bucket_of(ts: Column, width: int = BUCKET_S) -> Column:
@@ -56,3 +57,19 @@ def around(df: DataFrame, ts: int, first: int, last: int, column: str = "bucket"
     mid = first if ts < first else last if ts > last else ts - rest if rest < width / 2 else ts + width - rest
     wanted = [b for b in (mid - width, mid, mid + width) if first <= b <= last]
     return df.where(F.col(column).isin(wanted))
+
+
+def around_stamps(
+    df: DataFrame, stamps: DataFrame, first: int, last: int, column: str = "bucket", ts: str = "ts", width: int = BUCKET_S
+) -> DataFrame:
+    """Rows of a table partitioned by bucket that lie around any of the ``stamps`` (column ``ts``).
+
+    The buckets come from a table, so which folders are read is known at run time: the distinct
+    buckets, of which there are at most one per ``width`` between ``first`` and ``last``, are
+    broadcast, and the scan skips all other folders.
+    """
+    if (last - first) // width >= MOST_BUCKETS:
+        raise ValueError(f"more than {MOST_BUCKETS} buckets between {first} and {last}")
+    near = stamps.select(F.explode(neighbour_buckets(F.col(ts), first, last, width)).alias(column)).distinct()
+    wanted = near.where(F.col(column).between(first, last))
+    return df.join(F.broadcast(wanted), column, "left_semi")

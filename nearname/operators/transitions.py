@@ -8,12 +8,15 @@ of b then meets at most one stretch per a.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearname.functions.distance import osa
 from nearname.functions.names import name_suffix
 from nearname.functions.once import distinct_with
+from nearname.operators.ordered import with_next
 from nearname.operators.skew import salted_join
 
 WINDOW_S = 60
@@ -138,3 +141,12 @@ def consecutive_gaps(lookups: DataFrame, max_gap_s: int = 300, key: str = "src_i
     following = both.withColumn("next_ts", F.lead("ts").over(in_order)).where(~F.col("_closing"))
     gap = F.col("next_ts") - F.col("ts")
     return following.withColumn("gap_s", gap).where(F.col("gap_s") < max_gap_s).select(key, "ts", "next_ts", "gap_s")
+
+
+def consecutive_lookups(lookups: DataFrame, max_gap_s: int = 300, row_id: str = "lookup_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Neighbours in the time order of the whole log less than ``max_gap_s`` apart, whatever their
+    sources: (ts, row_id, ``keep``, and the same as next_..., gap_s). ``row_id`` orders rows of
+    one second, so a second with very many is spread over ranges too."""
+    columns = ["ts", row_id, *keep]
+    both = with_next(lookups.select(*columns), columns, "ts", row_id)
+    return both.withColumn("gap_s", F.col("next_ts") - F.col("ts")).where(F.col("gap_s") < max_gap_s)

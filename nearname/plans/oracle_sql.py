@@ -335,6 +335,10 @@ delays AS (SELECT exists, count(*) AS pairs, avg(target_ts - typo_ts) AS m FROM
     WHEN ts % 300 < 150 THEN ts - ts % 300 ELSE ts + 300 - ts % 300 END AS mid FROM lk GROUP BY ts)
   SELECT ts, lookups, {bucket} AS bucket, {stamp} AS stamp,
     array_to_string(list_filter([mid - 300, mid, mid + 300], lambda b: b >= 28401300 AND b <= 28443900), ' ') AS near FROM s""",
+        "lookups_near_stamps": f"""WITH {tagged}, first AS (SELECT min(ts) AS ts FROM log WHERE suffix <> target GROUP BY target, suffix),
+mid AS (SELECT CASE WHEN ts < 28401300 THEN 28401300 WHEN ts > 28443900 THEN 28443900 WHEN ts % 300 < 150 THEN ts - ts % 300 ELSE ts + 300 - ts % 300 END AS mid FROM first),
+near AS (SELECT DISTINCT unnest([mid - 300, mid, mid + 300]) AS bucket FROM mid)
+SELECT lookup_id, ts, target, qname, {bucket} AS bucket FROM log WHERE {bucket} IN (SELECT bucket FROM near WHERE bucket BETWEEN 28401300 AND 28443900)""",
         "tld_swap": f"WITH {base} SELECT lookup_id, qname, replace(qname, '.ocm.', '.com.') AS corrected FROM lk WHERE qname LIKE '%.ocm.'",
         "typo_candidates_of_hosts": f"WITH {_HOSTS}, {_typo_candidates('SELECT host AS s FROM hosts', 'host')} SELECT host, candidate FROM found",
         "candidate_hits_in_log": f"WITH {base}, {_typo_candidates('SELECT DISTINCT target AS s FROM lk', 'site')} SELECT candidate, site, count(*) AS lookups FROM found JOIN lk ON candidate = qname GROUP BY ALL",
@@ -366,6 +370,7 @@ FROM log x JOIN osa ON x.suffix = a AND x.target = b AND d = 1 JOIN log y ON y.t
         "exists_by_rules": f"WITH {tagged},{RULES}, {observed} SELECT ruled.* FROM ruled JOIN observed ON ruled.target = observed.target AND typo = candidate",
         "ratio_status": f"WITH {tagged},{RATIOS},{RULES} SELECT ratios.target, ratios.typo, round(ratio, 6) AS ratio, join_count, single_count, CASE WHEN exists THEN 'yes' WHEN NOT exists THEN 'no' END AS status FROM ratios LEFT JOIN ruled USING (target, typo)",
         "typo_stats": f"WITH {tagged},{STATS} SELECT * REPLACE (round(mean_delay, 6) AS mean_delay) FROM tstats",
+        "typo_stats_by_loads": f"WITH {tagged},{STATS} SELECT * REPLACE (round(mean_delay, 6) AS mean_delay) FROM tstats",
         "summary_by_exists": f"WITH {tagged},{STATS} SELECT exists, count(*) AS lookalikes, sum(pair_count)::bigint AS pairs, round(sum(pair_count * mean_delay) / sum(pair_count), 6) AS mean_delay FROM tstats WHERE pair_count / single_count::double > 0.2 GROUP BY exists",
         "summary_sentences": f"""WITH {tagged},{STATS}, s AS (SELECT exists, count(*) AS k, sum(pair_count)::bigint AS pairs, round(sum(pair_count * mean_delay) / sum(pair_count), 3) AS m
   FROM tstats WHERE pair_count / single_count::double > 0.2 GROUP BY exists)
@@ -389,9 +394,16 @@ both_ways AS (SELECT x.target, x.name, y.name AS other, CASE WHEN y.ts > x.ts TH
 SELECT target, name, other, direction, n, round(n / lookups::double, 6) AS share FROM both_ways JOIN names USING (target, name)""",
         "consecutive_gap": f"""WITH {base}, s AS (SELECT src_ip, ts, lead(ts) OVER (PARTITION BY src_ip ORDER BY ts, lookup_id) AS next_ts FROM lk)
 SELECT src_ip, ts, next_ts, next_ts - ts AS gap_s FROM s WHERE next_ts - ts < 300""",
+        "consecutive_global": f"""WITH {base}, s AS (SELECT ts, lookup_id, qname, lead(ts) OVER w AS next_ts, lead(lookup_id) OVER w AS next_lookup_id, lead(qname) OVER w AS next_qname
+  FROM lk WINDOW w AS (ORDER BY ts, lookup_id))
+SELECT *, next_ts - ts AS gap_s FROM s WHERE next_ts - ts < 300""",
         "kmeans_fixed_passes": f"WITH {_kmeans()} SELECT cluster::integer AS cluster, pos::integer AS pos, round(x, 5) AS x, size FROM (SELECT cluster, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM c{KMEANS_PASSES}) JOIN (SELECT cluster, count(*) AS size FROM a{KMEANS_PASSES} GROUP BY cluster) USING (cluster)",
         "kmeans_converged": f"WITH {_kmeans(CONVERGED_PASSES)} SELECT cluster::integer AS cluster, pos::integer AS pos, round(x, 4) AS x, size FROM (SELECT cluster, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS pos FROM c{CONVERGED_PASSES}) JOIN (SELECT cluster, count(*) AS size FROM a{CONVERGED_PASSES} GROUP BY cluster) USING (cluster)",
         "log_files_read": f"WITH {base}, h(how) AS (VALUES ('glob'), ('recursive')) SELECT how, qname, count(*) AS lookups FROM lk, h GROUP BY ALL",
+        "ingest_ledger": f"WITH {base} SELECT {bucket} AS bucket, count(*) FILTER (lookup_id % 16 NOT IN (11, 13)) AS rows, count(*) FILTER (lookup_id % 16 IN (11, 13)) AS rejects FROM lk GROUP BY ALL",
+        "ledger_lookups": f"""WITH {parsed} SELECT qname, count(*) AS lookups, sum(len(answer))::bigint AS answers FROM good GROUP BY qname
+UNION ALL SELECT CASE WHEN lookup_id % 16 = 13 THEN 'time or type is no number' ELSE 'query type or result code is no number' END, count(*), NULL FROM lk WHERE lookup_id % 16 IN (11, 13) GROUP BY 1""",
+        "site_files_read": f"WITH {base} SELECT target, qname, count(*) AS lookups FROM lk GROUP BY ALL",
         "pair_files_read": f"WITH {tagged},{STATS} SELECT a.ts AS typo_ts, a.src_ip AS typo_src_ip, a.qname AS typo_qname, b.ts AS target_ts, b.src_ip AS target_src_ip, b.qname AS target_qname FROM v1 JOIN lk a ON a.lookup_id = typo_id JOIN lk b ON b.lookup_id = target_id",
         "ratio_file_read": f"WITH {tagged},{RATIOS},{RULES} SELECT ratios.target, ratios.typo, round(ratio, 6) AS ratio, join_count, single_count, CASE WHEN exists THEN 'yes' WHEN NOT exists THEN 'no' END AS status FROM ratios LEFT JOIN ruled USING (target, typo)",
         "typo_stats_file_read": f"WITH {tagged},{STATS} SELECT * REPLACE (round(mean_delay, 6) AS mean_delay) FROM tstats",

@@ -18,11 +18,13 @@ from nearname.functions.records import answer_ttl, explode_records, export_line,
 from nearname.operators import cluster, existence, extract, fuzzy, pairs, stats, transitions
 from nearname.operators.cache import hidden_lookups
 from nearname.operators.candidates import candidate_hits, typo_candidates
+from nearname.plans.loads import LoadStore
 from nearname.plans.study import condensed
 from nearname.session import reliable_checkpoint, work_dir
 from nearname.sources.events import log_lines_from_events, lookups_from_events, popular_sites, watched_sites
 from nearname.functions.sql import register
 from nearname.schema import RATIO_STATUS, TYPO_STATS
+from nearname.sources.ledger import ingest_manifest, read_site_lines
 from nearname.sources.lists import (
     parse_candidate_lines,
     parse_features,
@@ -189,6 +191,20 @@ def bucket_5min(spark, sf):
     )
 
 
+FIRST_STAMP, LAST_STAMP = 28401300, 28443900  # the time the given events cover
+
+
+@query
+def lookups_near_stamps(spark, sf):
+    """The log written by five-minute bucket, read around the first sight of each look-alike."""
+    log, out = site_log(spark, sf), work_dir(spark, "buckets")
+    write_table_by(log.select("lookup_id", "ts", "target", "qname", timing.bucket_of(F.col("ts")).alias("bucket")), ["bucket"], out)
+    seen = log.select("ts", "target", N.name_suffix("qname", "target").alias("typo")).where(F.col("typo") != F.col("target"))
+    stamps = seen.groupBy("target", "typo").agg(F.min("ts").alias("ts"))
+    stored = spark.read.schema("lookup_id long, ts long, target string, qname string, bucket long").parquet(out)
+    return timing.around_stamps(stored, stamps, FIRST_STAMP, LAST_STAMP)
+
+
 @query
 def tld_swap(spark, sf):
     rows = site_log(spark, sf).where(F.col("qname").endswith(".ocm."))
@@ -276,6 +292,18 @@ def zone_sites(spark, sf):
 # Caching and pairs
 
 
+@query
+def typo_stats_by_loads(spark, sf):
+    """Pair statistics of a log that comes in three loads, the last part first."""
+    log = site_log(spark, sf)
+    third = (LAST_STAMP - FIRST_STAMP) // 3
+    store = LoadStore(spark, work_dir(spark, "loads"))
+    for name, low, high in (("c", 2, None), ("a", None, 1), ("b", 1, 2)):
+        part = log if low is None else log.where(F.col("ts") >= FIRST_STAMP + low * third)
+        store.add(part if high is None else part.where(F.col("ts") < FIRST_STAMP + high * third), name)
+    return rounded(store.typo_stats(), "mean_delay")
+
+
 @query
 def ttl_suppressed(spark, sf):
     log = site_log(spark, sf)
@@ -460,6 +488,12 @@ def consecutive_gap(spark, sf):
     return transitions.consecutive_gaps(site_log(spark, sf))
 
 
+@query
+def consecutive_global(spark, sf):
+    """Neighbours in time over all sources, less than five minutes apart."""
+    return transitions.consecutive_lookups(site_log(spark, sf), keep=["qname"])
+
+
 # Clusters
 
 
@@ -534,6 +568,40 @@ def log_files_read(spark, sf):
     return found[0].unionByName(found[1]).groupBy("how", "qname").agg(F.count("*").alias("lookups"))
 
 
+@query
+def ingest_ledger(spark, sf):
+    """Five-minute files taken in by two manifests, the second with the first one's files too:
+    what the ledger says of each file."""
+    times = site_log(spark, sf).select("lookup_id", timing.bucket_of(F.col("ts")).alias("bucket"))
+    lines, out, root = raw_lines(spark, sf).join(times, "lookup_id"), work_dir(spark, "files"), work_dir(spark, "ingest")
+    lines.select("bucket", F.col("line").alias("value")).repartition("bucket").write.partitionBy("bucket").text(out)
+    ingest_manifest(spark, [f"{out}/bucket=28[0-3]*/part-*", f"{out}/bucket=2841*/part-*"], root)
+    ledger, _ = ingest_manifest(spark, [f"{out}/bucket=*/part-*"], root)
+    bucket = F.regexp_extract("file", "bucket=([0-9]+)", 1).cast("bigint").alias("bucket")
+    return ledger.entries().groupBy(bucket).agg(F.sum("rows").alias("rows"), F.sum("rejects").alias("rejects"))
+
+
+@query
+def ledger_lookups(spark, sf):
+    """The rows behind the ledger: lookups and rejects of all files that are in, by name."""
+    out, root = work_dir(spark, "files"), work_dir(spark, "ingest")
+    raw_lines(spark, sf).select(F.col("line").alias("value")).write.text(out)
+    ledger, _ = ingest_manifest(spark, [f"{out}/part-*"], root, files_per_round=3)
+    good = ledger.lookups().groupBy("qname").agg(F.count("*").alias("lookups"), F.sum(F.size("answer")).alias("answers"))
+    bad = ledger.rejects().groupBy(F.col("reason").alias("qname")).agg(F.count("*").alias("lookups"), F.lit(None).cast("bigint").alias("answers"))
+    return good.unionByName(bad)
+
+
+@query
+def site_files_read(spark, sf):
+    """Log files in folders that bear the site's name: each line's site comes from its path."""
+    log, out = site_log(spark, sf), work_dir(spark, "sites")
+    for site in [r["site"] for r in watched_sites(spark).collect()]:  # the watch-list, four sites
+        write_lines(log.where(F.col("target") == site), f"{out}/{site.rstrip('.')}")
+    lines = read_site_lines(spark, out)
+    return lookups_of(parse_lines(lines, keep=["target"], sections=False), keep=["target"]).groupBy("target", "qname").agg(F.count("*").alias("lookups"))
+
+
 @query
 def pair_files_read(spark, sf):
     log, out = site_log(spark, sf), work_dir(spark, "pairs")
