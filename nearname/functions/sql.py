@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from nearname.functions.keyboard import qwerty_edges
+from nearname.operators.candidates import DIGITS, DOT_REPLACEMENT, LETTERS
 
 # One cell of the edit table: i runs over a, j over b; ``line`` is the row being built, ``last``
 # and ``before`` are the two rows above it.
@@ -57,9 +58,28 @@ def sql_functions(edges: list[tuple[str, str]] | None = None) -> dict[str, tuple
     }
 
 
+def table_functions() -> dict[str, tuple[str, str, str]]:
+    """Name to (parameters, result columns, query) of functions that give rows, for LATERAL."""
+    chars = lambda text: f"split('{text}', '')"
+    places = "sequence(1, length(site))"
+    replaced = f"filter(concat({chars(LETTERS + DIGITS)}, if(substr(site, i, 1) = '.', array('{DOT_REPLACEMENT}'), array())), c -> c <> substr(site, i, 1))"
+    parts = [
+        f"flatten(transform(sequence(1, length(site) + 1), i -> transform({chars(LETTERS)}, c -> concat(substr(site, 1, i - 1), c, substr(site, i)))))",
+        f"transform({places}, i -> concat(substr(site, 1, i - 1), substr(site, i + 1)))",
+        f"flatten(transform({places}, i -> transform({replaced}, c -> concat(substr(site, 1, i - 1), c, substr(site, i + 1)))))",
+        f"transform(filter({places}, i -> i < length(site) AND substr(site, i, 1) <> substr(site, i + 1, 1)), "
+        "i -> concat(substr(site, 1, i - 1), substr(site, i + 1, 1), substr(site, i, 1), substr(site, i + 2)))",
+    ]
+    every = f"CASE WHEN length(site) > 0 THEN array_distinct(concat({', '.join(parts)})) WHEN length(site) = 0 THEN {chars(LETTERS)} END"
+    return {"typo_candidates": ("site STRING", "candidate STRING", f"SELECT explode({every})")}
+
+
 def register(spark: SparkSession, edges: list[tuple[str, str]] | None = None) -> list[str]:
     """Create the functions in the session; returns their names."""
     functions = sql_functions(edges)
     for name, (parameters, result, body) in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
-    return list(functions)
+    rows = table_functions()
+    for name, (parameters, columns, query) in rows.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({columns}) RETURN {query}")
+    return [*functions, *rows]

@@ -342,6 +342,7 @@ SELECT lookup_id, ts, target, qname, {bucket} AS bucket FROM log WHERE {bucket}
         "tld_swap": f"WITH {base} SELECT lookup_id, qname, replace(qname, '.ocm.', '.com.') AS corrected FROM lk WHERE qname LIKE '%.ocm.'",
         "typo_candidates_of_hosts": f"WITH {_HOSTS}, {_typo_candidates('SELECT host AS s FROM hosts', 'host')} SELECT host, candidate FROM found",
         "candidate_hits_in_log": f"WITH {base}, {_typo_candidates('SELECT DISTINCT target AS s FROM lk', 'site')} SELECT candidate, site, count(*) AS lookups FROM found JOIN lk ON candidate = qname GROUP BY ALL",
+        "observed_candidate_hits": f"WITH {base}, {_typo_candidates('SELECT DISTINCT target AS s FROM lk', 'site')} SELECT candidate, site, count(*) AS lookups FROM found JOIN lk ON candidate = qname GROUP BY ALL",
         "fuzzy_osa": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x, hosts y WHERE x.host <> y.host AND abs(len(x.host) - len(y.host)) <= 2')} SELECT a AS x, b AS y, cast(d AS integer) AS distance FROM osa WHERE d <= 2",
         "fuzzy_keyboard": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x, hosts y WHERE x.host <> y.host AND abs(len(x.host) - len(y.host)) <= 1', cost=keyboard_cost)} SELECT a AS x, b AS y, d AS distance FROM osa WHERE d <= 1.5",
         "fuzzy_site_assign": f"WITH RECURSIVE {assign} SELECT * FROM assigned",
@@ -418,14 +419,16 @@ UNION ALL SELECT CASE WHEN lookup_id % 16 = 13 THEN 'time or type is no number'
 SELECT s.line || ';;' || t.line AS line FROM log x JOIN osa ON x.suffix = a AND x.target = b AND d = 1
   JOIN log y ON y.target = x.target AND y.suffix = y.target AND y.ts - x.ts >= 0 AND y.ts - x.ts < 60
   JOIN text s ON s.lookup_id = x.lookup_id JOIN text t ON t.lookup_id = y.lookup_id""",
-        "sql_distances": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x JOIN hosts y ON len(x.host) = len(y.host) AND x.host < y.host')} SELECT a AS x, b AS y, cast(d AS integer) AS distance, {_suffix('a', chr(39) + 'example.com.' + chr(39))} AS suffix FROM osa",
-        "sql_keyboard_distances": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x JOIN hosts y ON len(x.host) = len(y.host) AND x.host < y.host', cost=keyboard_cost)} SELECT a AS x, b AS y, d AS distance FROM osa",
+        "sql_distances": f"WITH RECURSIVE {tagged}, {_osa('SELECT DISTINCT suffix AS a, target AS b FROM log')} SELECT b AS target, a AS suffix, cast(d AS integer) AS distance, '10.1.0.0' AS net16 FROM osa",
+        "sql_keyboard_distances": f"WITH RECURSIVE {tagged}, {_osa('SELECT DISTINCT suffix AS a, target AS b FROM log', cost=keyboard_cost)} SELECT b AS target, a AS suffix, d AS distance FROM osa",
+        "sql_typo_candidates": f"WITH {_HOSTS}, {_typo_candidates('SELECT host AS s FROM hosts', 'host')} SELECT host, candidate FROM found",
         "kmeans_members": f"WITH {_kmeans()} SELECT cluster::integer AS cluster, row_number() OVER (PARTITION BY cluster ORDER BY name)::integer AS place, name FROM a{KMEANS_PASSES} QUALIFY place <= 10",
         "centre_distance": f"WITH {_kmeans()} SELECT name, cluster::integer AS cluster, round(dist, 5) AS distance FROM a0",
         "label_means": "WITH t AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, pos::integer AS pos, round(avg(x), 6) AS mean, count(*) AS count FROM t GROUP BY label, pos",
         "features_from_text": "SELECT vec_id AS name, len(embedding)::integer AS dims, round(list_sum(cast(embedding AS double[])), 5) AS total FROM embeddings",
         "stream_ingest_by_site": f"WITH RECURSIVE {assign} SELECT target, qname, distance, count(*) AS lookups FROM assigned GROUP BY ALL",
         "stream_pairs": f"WITH {tagged} SELECT a.target, a.net16, a.suffix AS typo, a.lookup_id, a.ts AS typo_ts, b.ts AS target_ts, b.ts - a.ts AS delay_s FROM log a JOIN log b ON a.target = b.target AND a.net16 = b.net16 AND b.suffix = b.target AND a.suffix <> a.target AND b.ts - a.ts BETWEEN 0 AND 60",
+        "stream_pairs_any_order": f"WITH {tagged} SELECT a.target, a.net16, a.suffix AS typo, a.lookup_id, a.ts AS typo_ts, b.ts AS target_ts, b.ts - a.ts AS delay_s FROM log a JOIN log b ON a.target = b.target AND a.net16 = b.net16 AND b.suffix = b.target AND a.suffix <> a.target AND b.ts - a.ts BETWEEN 0 AND 60",
         "stream_pairs_visible": f"WITH {tagged} SELECT a.target, a.net16, a.suffix AS typo, a.lookup_id, a.ts AS typo_ts, b.ts AS target_ts, b.ts - a.ts AS delay_s FROM visible a JOIN visible b ON a.target = b.target AND a.net16 = b.net16 AND b.suffix = b.target AND a.suffix <> a.target AND b.ts - a.ts BETWEEN 0 AND 60",
     }
     return {name: textwrap.dedent(text).strip() for name, text in sql.items()}

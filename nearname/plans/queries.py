@@ -18,6 +18,7 @@ from nearname.functions.records import answer_ttl, explode_records, export_line,
 from nearname.operators import cluster, existence, extract, fuzzy, pairs, stats, transitions
 from nearname.operators.cache import hidden_lookups
 from nearname.operators.candidates import candidate_hits, typo_candidates
+from nearname.operators.candidates import observed_candidate_hits as observed_hits
 from nearname.plans.loads import LoadStore
 from nearname.plans.study import condensed
 from nearname.session import reliable_checkpoint, work_dir
@@ -225,6 +226,13 @@ def candidate_hits_in_log(spark, sf):
     return candidate_hits(typo_candidates(log.select(F.col("target").alias("site"))), log)
 
 
+@query
+def observed_candidate_hits(spark, sf):
+    """As above, with candidates left out before the shuffle by a bit filter of the log's names."""
+    log = site_log(spark, sf)
+    return observed_hits(log.select(F.col("target").alias("site")), log)
+
+
 @query
 def fuzzy_osa(spark, sf):
     hosts = reliable_checkpoint(page_hosts(spark, sf))
@@ -700,22 +708,32 @@ def pair_lines_dist1(spark, sf):
 
 @query
 def sql_distances(spark, sf):
-    """The SQL functions in a query: pairs of equally long hosts."""
+    """The SQL functions in a query: names of the log and the site each belongs to."""
     register(spark)
-    page_hosts(spark, sf).createOrReplaceTempView("page_hosts")
+    site_log(spark, sf).createOrReplaceTempView("site_log")
     return spark.sql(
-        "SELECT x.host AS x, y.host AS y, osa_distance(x.host, y.host) AS distance, name_suffix(x.host, 'example.com.') AS suffix "
-        "FROM page_hosts x JOIN page_hosts y ON length(x.host) = length(y.host) AND x.host < y.host"
+        "SELECT target, suffix, osa_distance(suffix, target) AS distance, net16('10.1.2.' || length(suffix)) AS net16 "
+        "FROM (SELECT DISTINCT target, name_suffix(qname, target) AS suffix FROM site_log)"
     )
 
 
 @query
 def sql_keyboard_distances(spark, sf):
     register(spark)
-    page_hosts(spark, sf).createOrReplaceTempView("page_hosts")
+    site_log(spark, sf).createOrReplaceTempView("site_log")
     return spark.sql(
-        "SELECT x.host AS x, y.host AS y, keyboard_distance(x.host, y.host) AS distance "
-        "FROM page_hosts x JOIN page_hosts y ON length(x.host) = length(y.host) AND x.host < y.host"
+        "SELECT target, suffix, keyboard_distance(suffix, target) AS distance "
+        "FROM (SELECT DISTINCT target, name_suffix(qname, target) AS suffix FROM site_log)"
+    )
+
+
+@query
+def sql_typo_candidates(spark, sf):
+    """Candidates of all hosts from SQL alone."""
+    register(spark)
+    table(spark, sf, "pages").createOrReplaceTempView("pages")
+    return spark.sql(
+        "SELECT host, candidate FROM (SELECT DISTINCT lower(split_part(url, '/', 3)) AS host FROM pages), LATERAL typo_candidates(host)"
     )
 
 
@@ -757,3 +775,15 @@ def stream_pairs_visible(spark, sf):
     jobs.count_seconds(_streamed_log(spark, sf, spark.readStream), out, work_dir(spark, "progress")).awaitTermination()
     found = _streamed_pairs(spark, sf, ["lookup_id"])
     return jobs.visible_stream_pairs(found, jobs.read_second_counts(spark, out))
+
+
+@query
+def stream_pairs_any_order(spark, sf):
+    """Pairs of a log whose files come in no order of time, a few files per round."""
+    source, out = work_dir(spark, "rows"), work_dir(spark, "pairs")
+    log = site_log(spark, sf).drop("authority", "additional")
+    log.repartition(8, "lookup_id").write.parquet(source)
+    none = F.array().cast(log.schema["answer"].dataType)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 3).parquet(source).withColumns({"authority": none, "additional": none})
+    jobs.pair_rounds(stream, out, work_dir(spark, "progress"), keep=["lookup_id"]).awaitTermination()
+    return jobs.read_pair_rounds(spark, out, "lookup_id long")

@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from nearname.operators.cache import hidden_seconds
 from nearname.operators.fuzzy import match_names, with_sites
-from nearname.operators.pairs import WINDOW_S
+from nearname.operators.pairs import WINDOW_S, pair_rows
 from nearname.operators.seconds import BIN_S, GROUP, add_counts, second_counts, with_keys
 from nearname.session import reliable_checkpoint, scratch
+from nearname.sources.ledger import committed, read_folders
 from nearname.sources.logs import lookups_of, parse_lines
 
 FILES_PER_ROUND = 4
@@ -122,6 +123,54 @@ def stream_pairs(
     return joined.select(*GROUP, "typo", *keep, "typo_ts", "target_ts", delay.alias("delay_s"))
 
 
+def pair_rounds(
+    site_log: DataFrame, out: str, checkpoint: str, window_s: int = WINDOW_S, bin_s: int = BIN_S, keep: Sequence[str] = ()
+) -> StreamingQuery:
+    """Pairs of a streamed site log whose rows come in any order, without state in the executors.
+
+    Each round writes its rows by time bin, and pairs them with one another and with the rows of
+    earlier rounds in the bins they touch. A round of recent rows reads the last bins only; a
+    late row reads those of its own time, however long ago, so no pair is lost and nothing has to
+    be held for it. A round that is run again replaces what it wrote; rows count as earlier ones
+    once their round's pairs are written.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = with_keys(batch).where(F.col("net16").isNotNull()).select(*GROUP, "suffix", "ts", *keep, F.floor(F.col("ts") / bin_s).alias("bin"))
+        ddl = f"{rows._jdf.schema().toDDL()}, round string"
+        rows.hint("rebalance", "bin").write.mode("overwrite").partitionBy("bin").parquet(f"{out}/rows/round={number}")
+        new = read_folders(spark, f"{out}/rows", [f"round={number}"], ddl)
+        earlier = read_folders(spark, f"{out}/rows", [r for r in committed(spark, f"{out}/pairs") if r != f"round={number}"], ddl)
+        # As many bins as the round's rows have hours, and their neighbours: they prune the scan.
+        reach = F.sequence(F.floor((F.col("ts") - window_s) / bin_s), F.floor((F.col("ts") + window_s) / bin_s))
+        bins = new.select(F.explode(reach).alias("bin")).where(F.col("bin") > -(1 << 62)).distinct()
+        old = earlier.join(F.broadcast(bins), "bin", "left_semi")
+        head = F.col("suffix") == F.col("target")
+
+        def typos(df: DataFrame) -> DataFrame:
+            return df.where(~head).select(*GROUP, F.col("suffix").alias("typo"), *keep, F.col("ts").alias("typo_ts"))
+
+        def targets(df: DataFrame) -> DataFrame:
+            return df.where(head).select(*GROUP, F.col("ts").alias("target_ts"))
+
+        with scratch(spark):
+            near = reliable_checkpoint(old)
+            found = pair_rows(typos(new), targets(new.unionByName(near)), GROUP, 0, window_s)
+            found = found.unionByName(pair_rows(typos(near), targets(new), GROUP, 0, window_s))
+            found = found.select(*GROUP, "typo", *keep, "typo_ts", "target_ts", "delay_s")
+            found.write.mode("overwrite").parquet(f"{out}/pairs/round={number}")
+
+    return site_log.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_pair_rounds(spark: SparkSession, out: str, keep: str = "") -> DataFrame:
+    """Pairs of all rounds so far; ``keep`` are the types of the kept columns, as in a schema."""
+    kept = f"{keep}, " if keep else ""
+    ddl = f"target string, net16 string, typo string, {kept}typo_ts long, target_ts long, delay_s long, round string"
+    return read_folders(spark, f"{out}/pairs", committed(spark, f"{out}/pairs"), ddl).drop("round")
+
+
 def split_site_stream(site_log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Look-alike and correct lookups of a streamed site log."""
     rows = with_keys(site_log).where(F.col("net16").isNotNull())
