@@ -10,6 +10,8 @@ worked out in rounds only for conversations with a reference to a later call.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,9 +24,41 @@ from nearname.session import reliable_checkpoint
 TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
+DEEPEST = 200  # arrays and objects inside one another in the arguments of a call
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """Text whose half characters, which no encoding holds, are written as JSON escapes."""
+    return LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks, and characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks, and characters as they are but for half ones."""
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def loaded(text: str):
+    """The value of JSON text; ValueError, with what is wrong, where it is none, is nested more
+    than DEEPEST deep or holds a number that is not finite."""
+    try:
+        value = json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    except ValueError:
+        raise ValueError("no JSON") from None
+    level = [value]
+    for _ in range(DEEPEST + 1):
+        if any(isinstance(x, float) and not math.isfinite(x) for x in level):
+            raise ValueError("number out of range")
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return value
+    raise ValueError("nested too deep")
 
 
 def problems(value, schema: dict, at: str = "") -> list[str]:
@@ -68,14 +102,14 @@ def _read_calls(batches: Iterator[pd.DataFrame], schemas: dict[str, dict]) -> It
         found, refs, fixed = [], [], []
         for name, text in zip(b["name"], b["arguments"]):
             try:
-                value = json.loads(text) if text is not None else None
-            except ValueError:
-                found.append(["$: no JSON"])
+                value = loaded(text) if text is not None else None
+            except ValueError as wrong:
+                found.append([f"$: {wrong}"])
                 refs.append([])
                 fixed.append(canonical(text))
                 continue
-            found.append(problems(value, schemas[name]) if name in schemas else ["$: no such tool"])
-            refs.append(sorted(set(references(value))))
+            found.append([escaped(p) for p in problems(value, schemas[name])] if name in schemas else ["$: no such tool"])
+            refs.append(sorted({escaped(r) for r in references(value)}))
             fixed.append(canonical(value))
         yield b.assign(errors=found, after=refs, arguments=fixed)
 
@@ -125,6 +159,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     never link. References to calls that do not exist are an error of the call. Extra columns
     are ignored. (level, position) orders each conversation; level is 0 unless a reference
     points to a later call.
+
+    Arguments that are no JSON, hold numbers beyond a double's range or are nested more than
+    DEEPEST deep are an error of the call and are written as the text they came as. Half
+    characters are written as escapes. Arguments are read whole, however long; repeated rows of
+    one identifier pair off with its results one to one, and what is left over is unanswered or
+    an orphan.
     """
     calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), "position", "name", "arguments")
     schema = f"{calls._jdf.schema().toDDL()}, errors array<string>, after array<string>"
