@@ -9,6 +9,7 @@ pattern serve each source. Documents are then taken in a seeded order until the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ from nearname.session import reliable_checkpoint
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+FEW = 10_000  # rows of a plan that are broadcast; a longer one is joined as any table
+
+
+def _small(table: DataFrame, rows: list) -> DataFrame:
+    return F.broadcast(table) if len(rows) <= FEW else table
 
 
 def targets(sizes: dict, weights: dict, total: float, most: int = MOST) -> dict:
@@ -50,16 +56,26 @@ class Flow:
         return len(self.to) - 2
 
     def run(self, source: int, sink: int) -> None:
+        """Paths come by Dijkstra's search on costs reduced by potentials, which keeps them from
+        being negative; first costs are not."""
+        high = [0] * len(self.out)
         while True:
-            far, via = {source: 0}, {}
-            queue = [source]
-            for node in queue:  # label-correcting search; a node may be queued again
+            far, via, queue, done = {source: 0}, {}, [(0, source)], set()
+            while queue:
+                d, node = heappop(queue)
+                if node in done:
+                    continue
+                done.add(node)
                 for e in self.out[node]:
-                    if self.room[e] and far[node] + self.cost[e] < far.get(self.to[e], 1 << 60):
-                        far[self.to[e]], via[self.to[e]] = far[node] + self.cost[e], e
-                        queue.append(self.to[e])
+                    to = self.to[e]
+                    if self.room[e] and to not in done and (new := d + self.cost[e] + high[node] - high[to]) < far.get(to, 1 << 60):
+                        far[to], via[to] = new, e
+                        heappush(queue, (new, to))
             if sink not in via:
                 return
+            last = far[sink]
+            for node in range(len(high)):
+                high[node] += min(far.get(node, last), last)
             path, node = [], sink
             while node != source:
                 path.append(via[node])
@@ -85,19 +101,53 @@ def plan_mix(patterns: list[tuple[tuple, int]], weights: dict | None = None, mos
     5, 2, 1, 5, ..."""
     names = sorted({s for p, _ in patterns for s in p}, key=lambda s: (s is None, s or ""))
     weights = weights or {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(names)}
-    sizes = {s: sum(n for p, n in patterns if s in p) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for p, n in patterns:
+        for s in p:
+            sizes[s] += n
     goal = targets(sizes, weights, float(sum(n for _, n in patterns)), most) if names else {}
-    flow = Flow(2 + len(patterns) + len(names))
-    place = {s: 2 + len(patterns) + i for i, s in enumerate(names)}
-    arcs = []
-    for i, (members, size) in enumerate(patterns):
-        for again in range(most):
-            flow.add(0, 2 + i, size, again * again)
-        arcs.append({s: flow.add(2 + i, place[s], most * size, 0) for s in members})
-    for s in names:
-        flow.add(place[s], 1, round(goal[s]), 0)
-    flow.run(0, 1)
-    return Plan(goal, sizes, [{s: flow.used(e) for s, e in arc.items()} for arc in arcs])
+    taken: list[dict] = [{} for _ in patterns]
+    for part in overlapping([p for p, _ in patterns]):
+        members = {s for i in part for s in patterns[i][0]}
+        if len(part) == len(members) == 1:  # a source of its own: its flow is one path
+            (i,), (s,) = part, members
+            taken[i] = {s: min(round(goal[s]), most * patterns[i][1])}
+            continue
+        flow = Flow(2 + len(part) + len(members))
+        place = {s: 2 + len(part) + i for i, s in enumerate(members)}
+        arcs = []
+        for at, i in enumerate(part, 2):
+            for again in range(most):
+                flow.add(0, at, patterns[i][1], again * again)
+            arcs.append({s: flow.add(at, place[s], most * patterns[i][1], 0) for s in patterns[i][0]})
+        for s in members:
+            flow.add(place[s], 1, round(goal[s]), 0)
+        flow.run(0, 1)
+        for i, arc in zip(part, arcs):
+            taken[i] = {s: flow.used(e) for s, e in arc.items()}
+    return Plan(goal, sizes, taken)
+
+
+def overlapping(patterns: list[tuple]) -> list[list[int]]:
+    """Places of the patterns by groups that share sources, directly or through one another:
+    no flow leads from one group to another."""
+    head: dict = {}
+
+    def find(s):
+        while head[s] != s:
+            head[s] = head[head[s]]
+            s = head[s]
+        return s
+
+    for p in patterns:
+        for s in p:
+            head.setdefault(s, s)
+            head[find(s)] = find(p[0])
+    groups: dict = {}
+    for i, p in enumerate(patterns):
+        if p:
+            groups.setdefault(find(p[0]), []).append(i)
+    return list(groups.values())
 
 
 def mix(docs: DataFrame, members: str, size: str, key: list[str], weights: dict | None = None, most: int = MOST, seed: int = 0) -> DataFrame:
@@ -124,8 +174,7 @@ def mix(docs: DataFrame, members: str, size: str, key: list[str], weights: dict
     text = lambda c: F.to_json(F.struct(F.col(c).alias("p")), {"ignoreNullFields": "false"})
     keyed = named.withColumn("_key", text("_p")).withColumn("_h", seeded_hash(seed, *key)).drop("_p")
     ordered = running(keyed, "_key", ["_h", *key, size], size)
-    # The driver holds this table already: one row per pattern.
-    joined = ordered.join(F.broadcast(flows.withColumn("_key", text("_p")).drop("_p")), "_key")
+    joined = ordered.join(_small(flows.withColumn("_key", text("_p")).drop("_p"), table), "_key")
     part = F.greatest(F.lit(0), F.least(F.col(size), F.col("_rest") - F.col("before")))
     taken = (F.col("_whole") * F.col(size) + part).cast("bigint")
     start = F.col("_whole") * F.col("before") + F.least("before", "_rest")
@@ -164,7 +213,7 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     table = docs.sparkSession.createDataFrame(goals, "source string, source_size long, target double")
     mixed = mix(narrow.withColumn("_members", F.array("source")), "_members", "size", ["doc_id", "_text"], seed=seed)
     same = mixed["source"].eqNullSafe(table["source"])
-    return mixed.join(F.broadcast(table), same).select("doc_id", "size", "source_size", "target", "taken", mixed["source"].alias("source"), "credited")
+    return mixed.join(_small(table, goals), same).select("doc_id", "size", "source_size", "target", "taken", mixed["source"].alias("source"), "credited")
 
 
 def take_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
