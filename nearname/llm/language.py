@@ -124,12 +124,13 @@ def _sample(docs: DataFrame, sample: int) -> DataFrame:
     Hashes are even, so a bound on them leaves about four times the sample of each language
     before anything is ranked, however large the table is.
     """
-    hashes = docs.select("lang", F.xxhash64("text").alias("_h"))
+    # Copies go first, on an exchange by both columns, so that none of them meet by language.
+    hashes = docs.select("lang", F.xxhash64("text").alias("_h")).distinct()
     numbers = hashes.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
     part = F.least(F.lit(1.0), 4.0 * sample / F.col("_n"))
     low = hashes.join(numbers, "lang").where(F.col("_h").cast("double") <= (2 * part - 1) * float(1 << 63))
     order = Window.partitionBy("lang").orderBy("_h")
-    return low.select("lang", "_h").distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample)
+    return low.select("lang", "_h").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
