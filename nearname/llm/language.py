@@ -26,7 +26,7 @@ CENTROIDS = 4
 SAMPLE = 800  # texts per language that k-means sees; document frequencies cover all learnable texts
 ROUNDS = 10
 #: A text is rejected when its cosine is below this part of the language's lowest hundredth.
-REJECT = 0.25
+REJECT = 0.45
 CHUNK = 1 << 18  # characters turned into n-grams at a time
 
 
