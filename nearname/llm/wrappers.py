@@ -4,20 +4,25 @@ A page becomes a row of tokens: tags with their class or id, and text slots. Nei
 repeats are folded into groups, which leaves few distinct rows per host; these are counted
 first, and then aligned in rounds until one expression per host matches all of them. What only
 one side has becomes optional, what one side repeats becomes a repeated group, and text is a
-slot, so the expression is free of unions. Slots are then judged once per host by the elements
-around them, and every page is read through its host's wrapper, by the layout that it has itself.
-Outside article and main, text that is the same on all pages of a host belongs to its template.
+slot, so the expression is free of unions. Slots are then judged once per host: by the elements
+around them, and by the expression, whose repeated groups of links alone are menus wherever they
+stand outside article and main. Every page is read through its host's wrapper, by the layout that
+it has itself. Outside article and main, text that is the same on all pages of a host belongs to
+its template.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from hashlib import blake2b
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,6 @@ from nearname.session import reliable_checkpoint
 
 GROUP = 64  # rows aligned in one task and round
 FEWEST = 3  # different pages of a host that make a constant text its template's
-LEAST = 0.25  # of a page's clean text: what is left of a page that is no copy
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -40,6 +44,14 @@ CHROME_WORDS = frozenset(
     "nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+WEAK_WORDS = frozenset("notice notices promo related reply replies respond share sharing social widget".split())  # also said of articles
+CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+COMPOUND_WORDS = frozenset(
+    "ad ads advert adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu nav navbar navigation newsletter "
+    "popup sidebar sponsor sponsored".split()
+)
+HAVING = frozenset("has no not with without hide show is".split())
+LINK = "a"
 MAIN_WORDS = frozenset(["article", "main"])
 UNJUDGED = frozenset(["html", "body", "main", "article"])  # marks on these speak of the whole page
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -75,7 +87,7 @@ def raw_ends(page: str, name: str) -> dict[int, int]:
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, value) in page order: open (name, marks), close (name), text ("", raw)."""
+    """(kind, name, value) in page order: open or link (name, marks), close (name), text ("", raw)."""
     at = 0
     ends: dict[str, dict[int, int]] = {}
     while m := TOKEN.search(page, at):
@@ -92,8 +104,10 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 ends[name] = raw_ends(page, name)
             at = ends[name].get(at, len(page) if name in TO_END else at)
         else:
-            marks = [x.strip("\"'") for key, x in ATTRIBUTE.findall(m[3] or m[6] or "") if key.lower() in MARKS]
-            yield "open", name, " ".join(marks).lower()
+            given = ATTRIBUTE.findall(m[3] or m[6] or "")
+            marks = [x.strip("\"'") for key, x in given if key.lower() in MARKS]
+            link = name == "a" and any(key.lower() == "href" for key, _ in given)
+            yield "link" if link else "open", name, " ".join(marks).lower()
     if at < len(page) and not CUT.match(page, at):
         yield "text", "", page[at:]
 
@@ -106,7 +120,12 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
         if kind == "text":
             yield "text", "/".join(s for _, s in stack if s), value
             continue
-        if kind == "open":
+        if kind == "link":
+            if any(n == "a" for n, _ in stack):  # a link ends where the next begins
+                del stack[next(i for i, (n, _) in enumerate(stack) if n == "a") :]
+            stack.append((name, LINK))
+            yield "link", LINK, ""
+        elif kind == "open":
             shut = CLOSES.get(name, frozenset()) | ({"p"} if name in BLOCK_ENDS_P else frozenset())
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in shut:
@@ -124,15 +143,33 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
         else:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if at >= 0:
+                if stack[at][1] == LINK:
+                    yield "unlink", LINK, ""
                 del stack[at:]
             if name not in INLINE:
                 yield "close", name, ""
 
 
+def _numbered(tokens: list) -> np.ndarray:
+    """Equal tokens as equal numbers."""
+    known: dict = {}
+    return np.array([known.setdefault(t, len(known)) for t in tokens], dtype="int64")
+
+
+def _repeats(codes: np.ndarray, size: int) -> bool:
+    """Whether any ``size`` tokens are followed by the same ones."""
+    same = np.r_[0, np.cumsum(codes[:-size] == codes[size:])]
+    return bool((same[size:] - same[:-size] == size).any())
+
+
 def fold(tokens: list) -> list:
     """Neighbouring repeats of up to 12 tokens as one group ``("+", tokens)``."""
     size = 1
+    codes = _numbered(tokens)
     while size <= min(12, len(tokens)):
+        if not _repeats(codes, size):
+            size += 1
+            continue
         out, i, changed = [], 0, False
         while i < len(tokens):
             body, n = tokens[i : i + size], 1
@@ -152,6 +189,8 @@ def fold(tokens: list) -> list:
                 out.append(tokens[i])
                 i += 1
         tokens = out
+        if changed:
+            codes = _numbered(tokens)
         size = 1 if changed and size > 1 else size + 1
     return tokens
 
@@ -164,9 +203,9 @@ def skeleton(page: str) -> tuple:
             slot = "#" + name
             if not value.isspace() and (not out or out[-1] != slot):
                 out.append(slot)
-        elif kind == "open":
+        elif kind in ("open", "link"):
             out.append("<" + name)
-        elif kind == "close":
+        elif kind in ("close", "unlink"):
             out.append("/" + name)
     return tuple(fold(out))
 
@@ -217,23 +256,14 @@ def align(a: tuple, b: tuple) -> tuple:
 
 
 def show(tokens: tuple) -> str:
-    return " ".join(f"({show(t[1])}){t[0]}" if isinstance(t, tuple) else t for t in tokens)
+    """The expression as JSON: a token is a string, a group its sign and its tokens."""
+    return json.dumps(tokens, separators=(",", ":"))
 
 
 def parse(text: str) -> tuple:
     """Inverse of ``show``."""
-    stack: list[list] = [[]]
-    for word in text.split():
-        while word.startswith("("):
-            stack.append([])
-            word = word[1:]
-        ends = re.search(r"(?:\)[+?])*$", word)[0]
-        if word := word[: len(word) - len(ends)]:
-            stack[-1].append(word)
-        for sign in ends[1::2]:
-            done = stack.pop()
-            stack[-1].append((sign, tuple(done)))
-    return tuple(stack[0])
+    whole = lambda x: x if isinstance(x, str) else tuple(map(whole, x))
+    return whole(json.loads(text))
 
 
 def slots(tokens: tuple) -> list[str]:
@@ -246,20 +276,62 @@ def slots(tokens: tuple) -> list[str]:
     return list(found)
 
 
+def menus(tokens: tuple) -> set[str]:
+    """Slots of repeated groups that hold links and no other text."""
+    found: set[str] = set()
+    for t in tokens:
+        if isinstance(t, tuple):
+            inner = slots(t[1])
+            if t[0] == "+" and inner and all(LINK in path.split("/") for path in inner):
+                found |= set(inner)
+            else:
+                found |= menus(t[1])
+    return found
+
+
 def _steps(path: str) -> list[list[str]]:
     return [step.split(".") for step in path.split("/")]
 
 
+def _marked(step: list[str]) -> bool:
+    """Whether an element's marks speak of something beside the article: one of its whole words,
+    or the first or last part of a word joined by hyphens, as in ``main-nav``; ``with-nav`` is
+    about what the element has. Weak words count for less than those of an article."""
+    if step[0] in UNJUDGED:
+        return False
+    words = set(step[1:])
+    for word in step[1:]:
+        parts = re.split("[-_]+", word)
+        if len(parts) > 1 and parts[0] not in HAVING:
+            words |= COMPOUND_WORDS & {parts[0], parts[-1]}
+    return bool(words & CHROME_WORDS) and not (words & CONTENT_WORDS and words & CHROME_WORDS <= WEAK_WORDS)
+
+
 @lru_cache(65_536)
-def is_chrome(path: str) -> bool:
-    return any(s[0] in CHROME or (s[0] not in UNJUDGED and not CHROME_WORDS.isdisjoint(s[1:])) for s in _steps(path))
+def _judged(path: str) -> tuple[bool, bool, bool]:
+    """(lies in an element that holds no article, lies in a marked one, lies in article or main)"""
+    steps = _steps(path)
+    return any(s[0] in CHROME for s in steps), any(map(_marked, steps)), any(not MAIN_WORDS.isdisjoint(s) for s in steps)
+
 
+class Layout(NamedTuple):
+    """Slots of a wrapper in which an article may stand, the likeliest first: inside article or
+    main, elsewhere without menus and marked elements, and the same two with them."""
 
-def main_slots(paths: list[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """(clean, inside): slots of a wrapper that may hold the article, and those of them inside
-    article or main elements (or such marks)."""
-    clean = [p for p in paths if not is_chrome(p)]
-    return frozenset(clean), frozenset(p for p in clean if any(not MAIN_WORDS.isdisjoint(s) for s in _steps(p)))
+    inside: frozenset[str]
+    clean: frozenset[str]
+    marked_inside: frozenset[str]
+    marked: frozenset[str]
+
+
+def main_slots(paths: list[str], lists: set[str] | frozenset[str] = frozenset()) -> Layout:
+    plain = [(p, *_judged(p)[1:]) for p in paths if not _judged(p)[0]]
+    return Layout(
+        frozenset(p for p, marked, inside in plain if inside and not marked),
+        frozenset(p for p, marked, inside in plain if not marked and (inside or p not in lists)),
+        frozenset(p for p, _, inside in plain if inside),
+        frozenset(p for p, _, _ in plain),
+    )
 
 
 def pieces(page: str) -> list[tuple[str | None, str]]:
@@ -274,7 +346,7 @@ def pieces(page: str) -> list[tuple[str | None, str]]:
         if kind == "text":
             at = name
             held.append(entities.unescape(value))
-        else:
+        elif kind not in ("link", "unlink"):
             out.append((None, " "))
     return out
 
@@ -283,27 +355,37 @@ def key_of(*words: str) -> int:
     return int.from_bytes(blake2b("\0".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def block_key(path: str, text: str) -> int:
-    return key_of(path, SPACES.sub(" ", text).strip())
+def blocks(found: list[tuple[str | None, str]], wanted: frozenset[str]) -> list[tuple[str, str]]:
+    """(path, text) of the blocks of a page in ``wanted`` slots: links are part of the block they
+    stand in, and blocks of white space are none."""
+    out: list[tuple[str, str]] = []
+    held: list[tuple[str, str]] = []
+    for path, text in [*found, (None, "")]:
+        if path is None:
+            whole = SPACES.sub(" ", "".join(t for _, t in held)).strip()
+            if whole:
+                out.append(("/".join(step for step in held[0][0].split("/") if step != LINK), whole))
+            held = []
+        elif path in wanted:
+            held.append((path, text))
+    return out
 
 
-def by_layout(found: list[tuple[str | None, str]], clean: frozenset[str], inside: frozenset[str]) -> frozenset[str]:
-    """``inside`` where the page has text there, otherwise ``clean``."""
-    return inside if any(path in inside and not text.isspace() for path, text in found) else clean
+def by_layout(found: list[tuple[str | None, str]], layout: Layout) -> frozenset[str]:
+    """The first set of slots in which the page has text, so that no mark empties a page."""
+    filled = {path for path, text in found if path is not None and not text.isspace()}
+    return next((s for s in layout if not filled.isdisjoint(s)), layout.clean)
 
 
-def main_text(found: list[tuple[str | None, str]], clean: frozenset[str], inside: frozenset[str], constant: frozenset[int] = frozenset()) -> str:
+def main_text(found: list[tuple[str | None, str]], layout: Layout, constant: frozenset[int] = frozenset()) -> str:
     """White space as one blank, blocks joined by one. A page is read by its own layout: inside
     article or main where it has text there, otherwise all that is clean without the ``constant``
-    blocks; if hardly anything is left then, the page is a copy, not a layout, and stays whole."""
-    wanted = by_layout(found, clean, inside)
-    join = lambda kept: SPACES.sub(" ", "".join(text for _, text in kept)).strip()
-    kept = [x for x in found if x[0] is None or x[0] in wanted]
-    whole = join(kept)
-    if not constant or wanted is inside:
-        return whole
-    varying = join(x for x in kept if x[0] is None or block_key(*x) not in constant)
-    return varying if len(varying) >= LEAST * len(whole) else whole
+    blocks. A page of which all blocks are constant is a copy, not a template, and stays whole."""
+    wanted = by_layout(found, layout)
+    kept = blocks(found, wanted)
+    if constant and wanted is layout.clean:
+        kept = [x for x in kept if key_of(*x) not in constant] or kept
+    return " ".join(text for _, text in kept)
 
 
 def host_of(url: Column) -> Column:
@@ -344,13 +426,12 @@ def _block_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: set[tuple[str, int, int, int]] = set()
         for host, page in zip(b["host"], b["html"]):
             found = pieces(page or "")
-            clean, inside = main_slots(list({path for path, _ in found if path is not None}))
-            if by_layout(found, clean, inside) is clean:
+            layout = main_slots(list({path for path, _ in found if path is not None}))
+            if by_layout(found, layout) is layout.clean:
                 number = key_of(page or "")
-                for path, text in found:
-                    if path in clean and not text.isspace():
-                        slot = key_of(path)
-                        out |= {(host, slot, slot, number), (host, slot, block_key(path, text), number)}
+                for path, text in blocks(found, layout.clean):
+                    slot = key_of(path)
+                    out |= {(host, slot, slot, number), (host, slot, key_of(path, text), number)}
         yield pd.DataFrame(list(out), columns=["host", "slot", "block", "page"])
 
 
@@ -376,12 +457,13 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     met = placed.join(wrappers, "host")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[frozenset[str], frozenset[str], frozenset[int]]] = {}
+        known: dict[str, tuple[Layout, frozenset[int]]] = {}
         for b in batches:
             texts = []
             for host, page, wrapper, constant in zip(b["host"], b["html"], b["wrapper"], b["constant"]):
                 if host not in known:
-                    known[host] = (*main_slots(slots(parse(wrapper))), frozenset(() if constant is None else constant))
+                    tokens = parse(wrapper)
+                    known[host] = (main_slots(slots(tokens), menus(tokens)), frozenset(() if constant is None else constant))
                 texts.append(main_text(pieces(page or ""), *known[host]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": b["host"]})
 
