@@ -145,7 +145,8 @@ def pack_pieces(pieces: DataFrame, key: list[str], capacity: int = CAPACITY, see
         (F.col("_offset") + F.col("length") * F.pmod("_i", "_each")).alias("offset"),
     )
     ranked = running(pieces.withColumn("_h", seeded_hash(seed, *key)), "length", ["_h", *key])
-    return ranked.join(slots, ["length", "place"]).select(*pieces.columns, "sequence_id", "offset")
+    # The plan looks small, but there are as many slots as pieces: they must not be broadcast.
+    return ranked.join(slots.hint("merge"), ["length", "place"]).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, tokenizer: tuple[str, str] | None = None) -> DataFrame:
