@@ -23,6 +23,7 @@ from nearname.operators.cache import visible_lookups
 from nearname.operators.extract import lookalike_lookups
 from nearname.operators.seconds import BIN_S, GROUP, running_fold, second_counts, with_keys
 from nearname.operators.skew import SPLIT_ROWS, salted_join
+from nearname.session import reliable_checkpoint
 
 WINDOW_S = 60
 
@@ -82,6 +83,10 @@ def visible_pairs(
     same /16, both not hidden by a cached answer."""
     counts = second_counts(site_log) if counts is None else counts
     rows = visible_lookups(site_log, counts, bin_s).where(F.col("net16").isNotNull())
+    if not records:
+        # Both sides come from one written narrow table, so visibility is worked out once.
+        kept = [c for c in ("lookup_id",) if c in rows.columns]
+        rows = reliable_checkpoint(rows.select(*GROUP, "ts", "suffix", *kept))
     typos = _side(rows.where(F.col("suffix") != F.col("target")), "typo", GROUP, records, "suffix")
     targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", GROUP, records)
     return pair_rows(typos, targets, GROUP, 0, window_s, split_rows, counts)

@@ -124,23 +124,21 @@ def co_lookup_shares(seconds: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     )
 
 
-def consecutive_gaps(lookups: DataFrame, max_gap_s: int = 300, key: str = "src_ip", row_id: str = "lookup_id") -> DataFrame:
+def consecutive_gaps(lookups: DataFrame, max_gap_s: int = 300, key: str = "src_ip") -> DataFrame:
     """Consecutive lookups of a source less than ``max_gap_s`` apart: (key, ts, next_ts, gap_s).
 
-    A gap below the limit ends in the same time bin or the next one, so each bin is ordered by
-    itself, closed by the first row of the bin after it.
+    Rows are counted by source and second first: all but the last row of a second are followed
+    within it. A gap below the limit ends in the same time bin or the next one, so the seconds of
+    each bin are ordered by themselves, closed by the first second of the bin after it.
     """
-    rows = lookups.select(key, "ts", row_id).withColumn("_bin", F.floor(F.col("ts") / max_gap_s))
-    first = rows.groupBy(key, "_bin").agg(F.min(F.struct("ts", row_id)).alias("_f"))
-    closing = first.select(
-        key, (F.col("_bin") - 1).alias("_bin"), F.col("_f.ts").alias("ts"), F.col(f"_f.{row_id}").alias(row_id),
-        F.lit(True).alias("_closing"),
-    )
-    both = rows.withColumn("_closing", F.lit(False)).unionByName(closing)
-    in_order = Window.partitionBy(key, "_bin").orderBy("ts", row_id)
-    following = both.withColumn("next_ts", F.lead("ts").over(in_order)).where(~F.col("_closing"))
-    gap = F.col("next_ts") - F.col("ts")
-    return following.withColumn("gap_s", gap).where(F.col("gap_s") < max_gap_s).select(key, "ts", "next_ts", "gap_s")
+    seconds = lookups.groupBy(key, "ts").agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.col("ts") / max_gap_s))
+    first = seconds.groupBy(key, "_bin").agg(F.min("ts").alias("ts"))
+    closing = first.select(key, (F.col("_bin") - 1).alias("_bin"), "ts", F.lit(0).cast("bigint").alias("_n"))
+    in_order = Window.partitionBy(key, "_bin").orderBy("ts")
+    following = seconds.select(key, "_bin", "ts", "_n").unionByName(closing).withColumn("_next", F.lead("ts").over(in_order)).where(F.col("_n") > 0)
+    near = F.when(F.col("_next") - F.col("ts") < max_gap_s, F.array("_next")).otherwise(F.array().cast("array<bigint>"))
+    nexts = F.concat(F.array_repeat(F.col("ts"), (F.col("_n") - 1).cast("int")), near)
+    return following.select(key, "ts", F.explode(nexts).alias("next_ts")).withColumn("gap_s", F.col("next_ts") - F.col("ts"))
 
 
 def consecutive_lookups(lookups: DataFrame, max_gap_s: int = 300, row_id: str = "lookup_id", keep: Sequence[str] = ()) -> DataFrame:

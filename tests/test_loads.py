@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearname.functions import timing
+from nearname.operators.pairs import visible_pairs
 from nearname.operators.seconds import second_counts
 from nearname.operators.stats import typo_stats
-from nearname.operators.transitions import consecutive_lookups
+from nearname.operators.transitions import consecutive_gaps, consecutive_lookups
 from nearname.plans.loads import LoadStore
 from nearname.session import reliable_checkpoint
 from nearname.sources.sinks import write_table_by
@@ -125,3 +126,18 @@ def test_consecutive_over_all_sources(spark):
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     want = [(a[1], a[0], a[2], b[1], b[0], b[2], b[1] - a[1]) for a, b in zip(order, order[1:]) if b[1] - a[1] < 100]
     assert got == sorted(want)
+
+
+def test_consecutive_rows_of_a_source(spark):
+    rows = [(i, 77 if i % 3 else 9 * i, f"10.{i % 2}.0.1", "n.", 0) for i in range(150)]
+    got = sorted(tuple(r) for r in consecutive_gaps(as_log(spark, rows), max_gap_s=40).collect())
+    want = []
+    for src in ("10.0.0.1", "10.1.0.1"):
+        order = sorted(r[1] for r in rows if r[2] == src)
+        want += [(src, a, b, b - a) for a, b in zip(order, order[1:]) if b - a < 40]
+    assert got == sorted(want)
+
+
+def test_visibility_is_worked_out_once(spark, log):
+    plan = visible_pairs(log, reliable_checkpoint(second_counts(log)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
