@@ -54,8 +54,8 @@ class LoadStore:
             end = F.greatest(F.max("ts") + 1, F.coalesce(F.max("expiry"), F.min("ts")))
             stretch = reliable_checkpoint(dotted.groupBy(*GROUP).agg((F.min("ts") - self.window_s).alias("lo"), end.alias("hi")))
             old = reliable_checkpoint(self._nearby(stretch))
-            before = self._totals(old.join(stretch, GROUP)).select("target", "typo", *[(-F.col(c)).alias(c) for c in ("pair_count", "delay_sum")])
-            after = self._totals(add_counts(old.unionByName(new)).join(stretch, GROUP))
+            before = self._totals(reliable_checkpoint(old.join(stretch, GROUP))).select("target", "typo", *[(-F.col(c)).alias(c) for c in ("pair_count", "delay_sum")])
+            after = self._totals(reliable_checkpoint(add_counts(old.unionByName(new)).join(stretch, GROUP)))
             facts = new.where(F.col("suffix") != F.col("target")).groupBy("target", F.col("suffix").alias("typo"))
             facts = facts.agg(F.sum("own_n").alias("single_count"), F.sum("own_ttl").alias("own_ttl"))
             moved = before.unionByName(after).unionByName(facts, allowMissingColumns=True).groupBy("target", "typo")
@@ -82,7 +82,7 @@ class LoadStore:
 
     def _totals(self, counts: DataFrame) -> DataFrame:
         """Pairs whose look-alike lies in its group's stretch."""
-        seen = visible_counts(counts, self.bin_s)
+        seen = reliable_checkpoint(visible_counts(counts, self.bin_s))  # read several times
         asked = (F.col("suffix") == F.col("target")) | ((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
         return pair_totals(seen.where(asked & (F.col("n") > 0)), 0, self.window_s, self.bin_s)
 
