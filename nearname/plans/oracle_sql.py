@@ -265,6 +265,36 @@ def _kmeans(passes: int = KMEANS_PASSES) -> str:
     return ",\n".join(steps)
 
 
+def _oversampled(k: int = 10, rounds: int = 5, seed: int = 1) -> str:
+    """Draws by share of the summed squared distances, round by round, then k of the drawn by
+    weight times squared distance."""
+    steps = [
+        "vec AS MATERIALIZED (SELECT vec_id AS name, cast(embedding AS double[]) AS vec FROM embeddings)",
+        "d0 AS MATERIALIZED (SELECT * FROM vec ORDER BY md5(name::varchar), name LIMIT 1)",
+    ]
+    for i in range(1, rounds + 1):
+        steps.append(f"s{i} AS MATERIALIZED (SELECT v.name, v.vec, min(list_distance(v.vec, d.vec) ** 2) AS cost FROM vec v, d{i - 1} d GROUP BY ALL)")
+        draw = f"('0x' || substr(md5('{seed}:{i}:' || name), 1, 8))::bigint / 4294967296.0"
+        steps.append(
+            f"d{i} AS MATERIALIZED (SELECT * FROM d{i - 1} UNION SELECT name, vec FROM s{i} "
+            f"WHERE {draw} * (SELECT sum(cost) FROM s{i}) < cost * {2 * k})"
+        )
+    steps.append(f"drawn AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(name::varchar), name) AS i, name, vec FROM d{rounds})")
+    steps.append(
+        "weights AS MATERIALIZED (SELECT i, count(*) AS w FROM (SELECT v.name, arg_min(d.i, (list_distance(v.vec, d.vec), d.i)) AS i "
+        "FROM vec v, drawn d GROUP BY v.name) GROUP BY i)"
+    )
+    steps.append("heavy AS MATERIALIZED (SELECT drawn.*, coalesce(w, 0) AS w FROM drawn LEFT JOIN weights USING (i))")
+    steps.append("k1 AS MATERIALIZED (SELECT 1 AS place, * FROM heavy ORDER BY w DESC, i LIMIT 1)")
+    for p in range(2, k + 1):
+        steps.append(
+            f"k{p} AS MATERIALIZED (SELECT * FROM k{p - 1} UNION ALL (SELECT {p}, i, name, vec, w FROM "
+            f"(SELECT h.i, h.name, h.vec, h.w, min(list_distance(h.vec, c.vec) ** 2) AS far FROM heavy h, k{p - 1} c GROUP BY ALL) "
+            "WHERE w * far > 0 ORDER BY w * far DESC, i LIMIT 1))"
+        )
+    return ",\n".join(steps) + f" SELECT place::integer AS place, name, w AS weight FROM k{k}"
+
+
 def _typo_candidates(names: str, column: str) -> str:
     letters, both = f"'{LETTERS}'", f"'{LETTERS + DIGITS}'"
     return f"""
@@ -360,6 +390,7 @@ SELECT m.list_id, h.target, m.name AS candidate, cast(d AS integer) AS distance
 SELECT DISTINCT zone, site AS target, qname FROM zones JOIN sites ON split_part(site, '.', 1) = lower(zone) JOIN lk ON lk.target = site""",
         "ttl_suppressed": f"WITH {tagged} SELECT lookup_id, target, net16, ts, suffix FROM log WHERE lookup_id IN (SELECT lookup_id FROM hidden)",
         "pairs_v1": f"WITH {tagged},{STATS} SELECT * FROM v1",
+        "pairs_stored": f"WITH {tagged},{STATS} SELECT * FROM v1",
         "pair_lines_v1": f"WITH {tagged},{STATS}, text AS (SELECT lookup_id, {CLEAN} AS line FROM lk) SELECT a.line || ';;' || b.line AS line FROM v1 JOIN text a ON a.lookup_id = typo_id JOIN text b ON b.lookup_id = target_id",
         "pairs_status": f"WITH {tagged},{RATIOS},{RULES},{V3} SELECT * FROM v3",
         "pairs_dist1": f"""WITH RECURSIVE {tagged}, {_osa('SELECT DISTINCT suffix AS a, target AS b FROM log')}
@@ -423,6 +454,7 @@ SELECT s.line || ';;' || t.line AS line FROM log x JOIN osa ON x.suffix = a AND
         "sql_keyboard_distances": f"WITH RECURSIVE {tagged}, {_osa('SELECT DISTINCT suffix AS a, target AS b FROM log', cost=keyboard_cost)} SELECT b AS target, a AS suffix, d AS distance FROM osa",
         "sql_typo_candidates": f"WITH {_HOSTS}, {_typo_candidates('SELECT host AS s FROM hosts', 'host')} SELECT host, candidate FROM found",
         "kmeans_members": f"WITH {_kmeans()} SELECT cluster::integer AS cluster, row_number() OVER (PARTITION BY cluster ORDER BY name)::integer AS place, name FROM a{KMEANS_PASSES} QUALIFY place <= 10",
+        "kmeans_oversampled_start": f"WITH {_oversampled()}",
         "centre_distance": f"WITH {_kmeans()} SELECT name, cluster::integer AS cluster, round(dist, 5) AS distance FROM a0",
         "label_means": "WITH t AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) SELECT label, pos::integer AS pos, round(avg(x), 6) AS mean, count(*) AS count FROM t GROUP BY label, pos",
         "features_from_text": "SELECT vec_id AS name, len(embedding)::integer AS dims, round(list_sum(cast(embedding AS double[])), 5) AS total FROM embeddings",

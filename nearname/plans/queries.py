@@ -15,13 +15,13 @@ from nearname.functions import names as N
 from nearname.functions import timing
 from nearname.functions.distance import l2
 from nearname.functions.records import answer_ttl, explode_records, export_line, first_answer_ttl
-from nearname.operators import cluster, existence, extract, fuzzy, pairs, stats, transitions
+from nearname.operators import cluster, existence, extract, fuzzy, paired, pairs, stats, transitions
 from nearname.operators.cache import hidden_lookups
 from nearname.operators.candidates import candidate_hits, typo_candidates
 from nearname.operators.candidates import observed_candidate_hits as observed_hits
 from nearname.plans.loads import LoadStore
 from nearname.plans.study import condensed
-from nearname.session import reliable_checkpoint, work_dir
+from nearname.session import reliable_checkpoint, small_table, work_dir
 from nearname.sources.events import log_lines_from_events, lookups_from_events, popular_sites, watched_sites
 from nearname.functions.sql import register
 from nearname.schema import RATIO_STATUS, TYPO_STATS
@@ -326,6 +326,15 @@ def pairs_v1(spark, sf):
     )
 
 
+@query
+def pairs_stored(spark, sf):
+    """Pairs from two bucketed tables: nothing is shuffled below the join."""
+    log = site_log(spark, sf)
+    path = work_dir(spark, "pair_store")
+    store = paired.write_pair_store(log, f"pairs_{path[-32:]}", path, condensed(log))
+    return store.pairs(spark).select("target", "typo", "typo_id", "typo_ts", "target_id", "target_ts", "net16", "delay_s")
+
+
 @query
 def pair_lines_v1(spark, sf):
     log = site_log(spark, sf)
@@ -534,6 +543,14 @@ def kmeans_members(spark, sf):
     return cluster.members(cluster.assign(points, centres)).select("cluster", "place", "name")
 
 
+@query
+def kmeans_oversampled_start(spark, sf):
+    """Start vectors by oversampling and how many vectors lie closest to each."""
+    found = cluster.oversampled_start(vectors(spark, sf))
+    rows = [(place, name, weight) for place, (name, _, weight) in enumerate(found, start=1)]  # k rows
+    return small_table(spark, rows, "place int, name bigint, weight bigint")
+
+
 @query
 def centre_distance(spark, sf):
     """Distance of every vector to its closest start centre."""
