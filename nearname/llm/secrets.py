@@ -1,10 +1,10 @@
 """Secret scans by patterns and by sliding-window entropy, in built-in functions only.
 
 Three patterns find assigned values, access keys and hexadecimal strings. The entropy scan
-takes maximal runs of each character class, slides a window over them and keeps the counts of
-the characters inside up to date: one comes in, one goes out, and the entropy follows from the
-changed counts alone. Runs whose windows reach the class's threshold are reported unless the
-allow-list suppresses them.
+takes maximal runs of each character class, cuts them at words of the allow-list, slides a window
+over the parts and keeps the counts of the characters inside up to date: one comes in, one goes
+out, and the entropy follows from the changed counts alone. Runs with a window that reaches the
+class's threshold are reported.
 """
 
 from __future__ import annotations
@@ -21,18 +21,28 @@ ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][E
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_MIN = 6
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_letters")
 
 WINDOW = 16
-#: Class to (maximal runs, bits per character that a window must reach).
+#: Both digits and letters.
+BOTH = r"^(?=.*[0-9])(?=.*[A-Za-z])"
+#: Class to (maximal runs, bits per character that a window must reach, form of a part). Letters
+#: alone must also change between upper and lower case often enough: see ``CASES``.
 CLASSES = {
-    "entropy_hex": (r"(?<![0-9A-Za-z+/_-])[0-9A-Fa-f]{16,}(?![0-9A-Za-z+/_-])", 2.8),
-    "entropy_mixed": (r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{16,}", 3.3),
+    "entropy_hex": (r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16,}(?![0-9A-Za-z])", 2.8, BOTH),
+    "entropy_mixed": (r"(?<![0-9A-Za-z+/_-])[0-9A-Za-z+/_-]{16,}", 3.3, BOTH),
+    "entropy_letters": (r"(?<![0-9A-Za-z])[A-Za-z]{16,}(?![0-9A-Za-z])", 3.3, r"^(?=.*[A-Z])(?=.*[a-z])"),
 }
-#: Candidates that are no secrets: without any digit or of digits alone, ladders of the
-#: alphabet or digits, and stated examples.
-ALLOW = r"^[A-Za-z+/_-]*$|^[0-9+/_-]*$|(?i:0123456789|abcdefghij|example|placeholder|xxxxxx)"
-_FIRST, _PLACES = 43, 80  # from + to z
+#: Least changes of case per neighbouring pair of letters, and least share of upper-case letters.
+#: By chance both are 0.5; names in camel case have 0.2 to 0.4 and 0.1 to 0.25, words one change.
+CASES, UPPER = 0.3, 0.25
+#: Words that are no secrets wherever they stand: ladders of the alphabet or digits, stated examples.
+#: They cut a run, so what lies before and behind them is judged by itself.
+ALLOW = r"(?i:0123456789|abcdefghij|example|placeholder|x{6,})"
+#: A part is judged in stretches of this many characters, which overlap by a window less one.
+STRETCH = 1024
+_FIRST, _PLACES, _BITS = 43, 80, 5  # from + to z; a count of at most 17 takes 5 bits
+_SLOTS = 60 // _BITS
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -63,42 +73,71 @@ def _nlogn(n: Column) -> Column:
 
 
 def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy (bits per character) of any ``window`` characters of an ASCII
-    candidate at least as long.
+    """Largest Shannon entropy (bits per character) of any ``window`` characters (16 at most) of an
+    ASCII candidate at least as long.
 
-    The state holds a count per character and the sum of n log n over them; a step changes at
-    most two counts.
+    The state holds the counts of the characters inside, packed into seven numbers, and the sum of
+    n log n over them; a step adds one to a count, takes one from another and changes their terms.
     """
-    code = lambda i: F.ascii(F.substring(candidate, i, F.lit(1))) - _FIRST
-    empty = F.array_repeat(F.lit(0), _PLACES)
-    state = F.struct(empty.alias("n"), F.lit(0.0).alias("sum"), F.lit(float(window) * 99).alias("least"))
-
-    def step(acc: Column, i: Column) -> Column:
-        come, gone = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        one = F.get(acc["n"], come).cast("double")
-        other = F.get(acc["n"], gone).cast("double")
-        change = _nlogn(one + 1) - _nlogn(one) + F.when(gone >= 0, _nlogn(other - 1) - _nlogn(other)).otherwise(0.0)
-        total = acc["sum"] + F.when(come == gone, 0.0).otherwise(change)
-        counts = F.transform(acc["n"], lambda n, j: n + F.when(j == come, 1).otherwise(0) - F.when(j == gone, 1).otherwise(0))
-        least = F.when(i >= window, F.least(acc["least"], total)).otherwise(acc["least"])
-        return F.struct(counts.alias("n"), total.alias("sum"), least.alias("least"))
-
-    least = F.aggregate(F.sequence(F.lit(1), F.length(candidate)), state, step, lambda acc: acc["least"])
+    place = lambda c: F.struct(F.floor((F.ascii(c) - _FIRST) / _SLOTS).cast("int").alias("at"), ((F.ascii(c) - _FIRST) % _SLOTS * _BITS).alias("by"))
+    come = F.transform(F.split(candidate, ""), place)
+    nobody = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("by"))
+    gone = F.concat(F.array_repeat(nobody, window), F.slice(come, F.lit(1), F.greatest(F.length(candidate) - window, F.lit(0))))
+    steps = F.zip_with(come, gone, lambda c, g: F.struct(c.alias("come"), g.alias("gone")))
+    one = F.lit(1).cast("bigint")
+    empty = F.array_repeat(F.lit(0).cast("bigint"), -(-_PLACES // _SLOTS))
+    state = F.struct(empty.alias("n"), F.lit(0.0).alias("sum"), F.lit(float(window) * 99).alias("least"), F.lit(0).alias("i"))
+
+    def step(acc: Column, x: Column) -> Column:
+        count = lambda p: F.call_function("shiftrightunsigned", F.get(acc["n"], p["at"]), p["by"]).bitwiseAND(31).cast("double")
+        part = lambda p, j: F.when(j == p["at"], F.call_function("shiftleft", one, p["by"])).otherwise(0)
+        come, gone = x["come"], x["gone"]
+        up = _nlogn(count(come) + 1) - _nlogn(count(come))
+        down = F.when(gone["at"] >= 0, _nlogn(count(gone) - 1) - _nlogn(count(gone))).otherwise(0.0)
+        total = acc["sum"] + F.when(come == gone, 0.0).otherwise(up + down)
+        counts = F.transform(acc["n"], lambda n, j: n + part(come, j) - part(gone, j))
+        least = F.when(acc["i"] >= window - 1, F.least(acc["least"], total)).otherwise(acc["least"])
+        return F.struct(counts.alias("n"), total.alias("sum"), least.alias("least"), (acc["i"] + 1).alias("i"))
+
+    least = F.aggregate(steps, state, step, lambda acc: acc["least"])
     return F.lit(math.log2(window)) - least / window
 
 
+def _odd(hit: Column, bits: float, form: str, letters: bool, allow: str) -> Column:
+    """Some part of a run between allowed words has the form and a window of enough entropy.
+
+    Stretches follow one another until one has such a window, so a run of any length takes the
+    memory of one stretch.
+    """
+
+    def odd(part: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(part) - WINDOW + 1, F.lit(STRETCH - WINDOW + 1))
+        windows = F.exists(starts, lambda p: window_entropy(F.substring(part, p, F.lit(STRETCH))) >= bits)
+        fits = (F.length(part) >= WINDOW) & part.rlike(form)
+        if letters:
+            changes = F.length(part) - F.length(F.regexp_replace(part, "[a-z](?=[A-Z])|[A-Z](?=[a-z])", ""))
+            upper = F.length(F.regexp_replace(part, "[a-z]", ""))
+            fits = fits & (changes >= (F.length(part) - 1) * CASES) & (upper > F.length(part) * UPPER)
+        return F.when(fits, windows).otherwise(F.lit(False))
+
+    return F.exists(F.split(hit, allow, -1), odd)
+
+
 def scan(docs: DataFrame, text: str = "text", allow: str = ALLOW) -> DataFrame:
     """``docs`` with ``secrets``: an array of (start, order, kind, end, hit) by start, then kind.
 
     Places count code points, ends are exclusive. Null text counts as empty. The allow-list
-    concerns entropy findings only. Texts are scanned whole and where they lie: nothing is
-    shuffled.
+    concerns entropy findings only. Texts of any length are scanned whole and where they lie:
+    nothing is shuffled. Rows that repeat are each scanned. A column ``secrets`` of ``docs`` is an
+    error, as it would be lost.
     """
+    if "secrets" in {c.lower() for c in docs.columns}:
+        raise ValueError("the input has a column named secrets")
     t = F.coalesce(F.col(text), F.lit(""))
     long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 1)) >= ASSIGN_MIN
     found = [_spans(t, ASSIGN, "assign", long_value), _spans(t, ACCESS, "access"), _spans(t, HEX, "hex")]
-    for kind, (pattern, bits) in CLASSES.items():
-        odd = lambda hit, bits=bits: ~hit.rlike(allow) & (window_entropy(hit) >= bits)
+    for kind, (pattern, bits, form) in CLASSES.items():
+        odd = lambda hit, bits=bits, form=form, kind=kind: _odd(hit, bits, form, kind == "entropy_letters", allow)
         found.append(_spans(t, pattern, kind, odd))
     return docs.withColumn("secrets", F.array_sort(F.concat(*found)))
 
