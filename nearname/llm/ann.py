@@ -9,6 +9,7 @@ neighbours lie in visited leaves.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -152,15 +153,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     """(query_id, rank, vec_id, score): the k best others by inner product for each query row of
     ``vectors`` (vec_id, vec array<double>), ties to the smaller id.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-    those whose length is not the most frequent one or without id. Equal vectors are one entry
-    with its k + 1 smallest ids; no others of them can be among anyone's k best. Every entry is
-    indexed. An empty table gives an empty table.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those
+    without id. Vectors of one length are searched among themselves, a tree per length that occurs
+    (one number per length reaches the driver). Equal vectors are one entry with their k + 1
+    smallest ids; no others of them can be among anyone's k best. Every entry is indexed. Rows that
+    repeat an id and vector count once. An empty table gives an empty table.
     """
-    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    lengths = vectors.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = lengths["n"] if lengths else 0
-    vectors = vectors.where(F.size("vec") == dims)
+    vectors = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("vec"))).select("vec_id", "vec", is_query.alias("asks"))
+    lengths = sorted(r["n"] for r in vectors.select(F.size("vec").alias("n")).distinct().collect())
+    parts = [_search(vectors.where(F.size("vec") == n), n, k, recall, sample) for n in lengths or [0]]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _search(vectors: DataFrame, dims: int, k: int, recall: float, sample: int) -> DataFrame:
+    """``search`` among usable vectors (vec_id, vec, asks) of one length."""
     spark = vectors.sparkSession
     alike = Window.partitionBy("vec").orderBy("vec_id")
     few = vectors.select("vec", "vec_id").distinct().withColumn("_rn", F.row_number().over(alike)).where(F.col("_rn") <= k + 1)
@@ -179,7 +185,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, recall: float = REC
     filed = reliable_checkpoint(entries.select("rep", "vec", "least").mapInArrow(file, "rep long, vec array<double>, least long, leaf long"))
     sizes = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}  # one row per leaf
 
-    asked = vectors.where(is_query).select("vec_id", "vec")
+    asked = vectors.where("asks").select("vec_id", "vec")
     asked = reliable_checkpoint(asked.join(entries.select("rep", F.col("vec").alias("_v")), F.col("vec") == F.col("_v")).select("vec_id", "rep"))
     queries = reliable_checkpoint(filed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vec"))
     leaves = calibrated(filed, queries, tree, sizes, k, recall)
