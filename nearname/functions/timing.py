@@ -37,6 +37,11 @@ def to_date(ts: Column) -> Column:
     return F.timestamp_seconds(ts)
 
 
+def day_of(ts: Column) -> Column:
+    """Calendar day in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(ts / 86_400).cast("int"))
+
+
 def neighbour_buckets(ts: Column, first: Column | int, last: Column | int, width: int = BUCKET_S) -> Column:
     """The nearest bucket with the one before and the one after it, kept within [first, last]."""
     low = first if isinstance(first, Column) else F.lit(first)

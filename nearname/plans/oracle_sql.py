@@ -375,6 +375,10 @@ SELECT lookup_id, ts, target, qname, {bucket} AS bucket FROM log WHERE {bucket}
         "observed_candidate_hits": f"WITH {base}, {_typo_candidates('SELECT DISTINCT target AS s FROM lk', 'site')} SELECT candidate, site, count(*) AS lookups FROM found JOIN lk ON candidate = qname GROUP BY ALL",
         "fuzzy_osa": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x, hosts y WHERE x.host <> y.host AND abs(len(x.host) - len(y.host)) <= 2')} SELECT a AS x, b AS y, cast(d AS integer) AS distance FROM osa WHERE d <= 2",
         "fuzzy_keyboard": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x, hosts y WHERE x.host <> y.host AND abs(len(x.host) - len(y.host)) <= 1', cost=keyboard_cost)} SELECT a AS x, b AS y, d AS distance FROM osa WHERE d <= 1.5",
+        "fuzzy_segments": f"""WITH RECURSIVE {base}, {_HOSTS}, known AS (SELECT host AS y FROM hosts UNION SELECT site FROM sites),
+{_osa("SELECT DISTINCT qname AS a, y AS b FROM lk, known WHERE abs(len(qname) - len(y)) <= 3 AND len(qname) > 0")}
+SELECT a AS x, b AS y, cast(d AS integer) AS distance FROM osa WHERE d <= 3""",
+        "fuzzy_segments_keyboard": f"WITH RECURSIVE {_HOSTS}, {_osa('SELECT x.host AS a, y.host AS b FROM hosts x, hosts y WHERE x.host <> y.host AND abs(len(x.host) - len(y.host)) <= 1', cost=keyboard_cost)} SELECT a AS x, b AS y, d AS distance FROM osa WHERE d <= 1.5",
         "fuzzy_site_assign": f"WITH RECURSIVE {assign} SELECT * FROM assigned",
         "fuzzy_regroup": f"""WITH RECURSIVE {base}, members AS (SELECT DISTINCT target AS list_id, qname AS name FROM lk),
 heads AS (SELECT list_id, name AS target FROM members WHERE name IN (SELECT site FROM popular)),
@@ -424,6 +428,11 @@ SELECT count(*) FILTER (expired_before > 0) AS with_answer_before, count(*) FILT
 both_ways AS (SELECT x.target, x.name, y.name AS other, CASE WHEN y.ts > x.ts THEN 'after' ELSE 'before' END AS direction, count(DISTINCT y.lookup_id) AS n
   FROM near x JOIN near y ON x.target = y.target AND x.src = y.src AND x.name <> y.name AND abs(y.ts - x.ts) BETWEEN 1 AND 59 GROUP BY ALL)
 SELECT target, name, other, direction, n, round(n / lookups::double, 6) AS share FROM both_ways JOIN names USING (target, name)""",
+        "co_lookup_ranked": f"""WITH RECURSIVE {tagged},{TRANSITIONS},
+both_ways AS (SELECT x.target, x.name, y.name AS other, CASE WHEN y.ts > x.ts THEN 'after' ELSE 'before' END AS direction, count(DISTINCT y.lookup_id) AS n
+  FROM near x JOIN near y ON x.target = y.target AND x.src = y.src AND x.name <> y.name AND abs(y.ts - x.ts) BETWEEN 1 AND 59 GROUP BY ALL),
+shares AS (SELECT target, name, other, direction, n, round(n / lookups::double, 6) AS share FROM both_ways JOIN names USING (target, name))
+SELECT *, row_number() OVER (ORDER BY share DESC, target, name, other, direction) AS place FROM shares""",
         "consecutive_gap": f"""WITH {base}, s AS (SELECT src_ip, ts, lead(ts) OVER (PARTITION BY src_ip ORDER BY ts, lookup_id) AS next_ts FROM lk)
 SELECT src_ip, ts, next_ts, next_ts - ts AS gap_s FROM s WHERE next_ts - ts < 300""",
         "consecutive_global": f"""WITH {base}, s AS (SELECT ts, lookup_id, qname, lead(ts) OVER w AS next_ts, lead(lookup_id) OVER w AS next_lookup_id, lead(qname) OVER w AS next_qname
@@ -444,6 +453,8 @@ UNION ALL SELECT CASE WHEN lookup_id % 16 = 13 THEN 'time or type is no number'
         "write_modes": f"WITH {base} SELECT target, count(*) AS appended, count(*) FILTER (lookup_id % 2 = 0) AS overwritten FROM lk GROUP BY target HAVING overwritten > 0",
         "typo_files_read": f"WITH {tagged}, {observed} SELECT target, suffix AS typo, count(*) AS lookups FROM own WHERE (target, suffix) IN (SELECT (target, candidate) FROM observed) GROUP BY ALL",
         "list_files_read": f"WITH {tagged}, {observed} SELECT * FROM observed",
+        "site_files_ranked": f"WITH {_HOSTS} SELECT cast(row_number() OVER (ORDER BY host) AS integer) AS rank, host || '.' AS site FROM hosts WHERE host <> ''",
+        "lookup_dates": f"WITH {base} SELECT strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS lookups, min(ts) AS first_ts, max(ts) AS last_ts FROM lk GROUP BY 1",
         "zone_file_read": f"WITH {base} SELECT upper(split_part(qname, '.', 1)) AS zone, count(*) AS lines FROM lk WHERE lookup_id % 4 <> 0 AND split_part(qname, '.', 1) <> '' GROUP BY ALL",
         "feature_file_read": "SELECT vec_id::varchar AS name, len(embedding)::integer AS dims, round(list_sum(cast(embedding AS double[])), 5) AS total FROM embeddings",
         "pair_lines_dist1": f"""WITH RECURSIVE {tagged}, {_osa('SELECT DISTINCT suffix AS a, target AS b FROM log')}, text AS (SELECT lookup_id, {CLEAN} AS line FROM lk)

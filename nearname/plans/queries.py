@@ -19,6 +19,8 @@ from nearname.operators import cluster, existence, extract, fuzzy, paired, pairs
 from nearname.operators.cache import hidden_lookups
 from nearname.operators.candidates import candidate_hits, typo_candidates
 from nearname.operators.candidates import observed_candidate_hits as observed_hits
+from nearname.operators.ordered import with_place
+from nearname.operators.segments import segment_pairs
 from nearname.plans.loads import LoadStore
 from nearname.plans.study import condensed
 from nearname.session import reliable_checkpoint, small_table, work_dir
@@ -34,6 +36,7 @@ from nearname.sources.lists import (
     read_features,
     read_pairs,
     read_ratios,
+    read_sites,
     read_status_pairs,
     read_typo_stats,
     read_zone,
@@ -249,6 +252,21 @@ def fuzzy_keyboard(spark, sf):
     return found.where(F.col("distance") > 0)
 
 
+@query
+def fuzzy_segments(spark, sf):
+    """Names of the log up to three edits from a host of the pages or a watched site, by segments."""
+    names = site_log(spark, sf).select(F.col("qname").alias("x"))
+    hosts = page_hosts(spark, sf).select(F.col("host").alias("y"))
+    return segment_pairs(names, hosts.unionByName(watched_sites(spark).select(F.col("site").alias("y"))), "x", "y", 3)
+
+
+@query
+def fuzzy_segments_keyboard(spark, sf):
+    hosts = page_hosts(spark, sf)
+    found = segment_pairs(hosts.withColumnRenamed("host", "x"), hosts.withColumnRenamed("host", "y"), "x", "y", 1.5, keyboard=True)
+    return found.where(F.col("distance") > 0)
+
+
 @query
 def fuzzy_site_assign(spark, sf):
     matched = fuzzy.assign_sites(site_log(spark, sf).drop("target"), watched_sites(spark))
@@ -699,6 +717,30 @@ def list_files_read(spark, sf):
     return read_candidates(spark, out).select("target", "candidate")
 
 
+@query
+def site_files_ranked(spark, sf):
+    """Watch-lists of several files: hosts of the pages by their first letter, ranked over all files."""
+    out = work_dir(spark, "lists")
+    hosts = page_hosts(spark, sf).where(F.col("host") != "").select("host", F.substring("host", 1, 1).alias("first"))
+    hosts.repartition("first").sortWithinPartitions("first", "host").select("first", F.col("host").alias("value")).write.partitionBy("first").text(out)
+    return read_sites(spark, out)
+
+
+@query
+def co_lookup_ranked(spark, sf):
+    """Names looked up around a name, the largest share first, with their place in that order."""
+    shares = rounded(transitions.co_lookup_shares(_near_seconds(spark, sf)), "share")
+    return with_place(shares, F.desc("share"), "target", "name", "other", "direction")
+
+
+@query
+def lookup_dates(spark, sf):
+    """Lookups by calendar day, with the moments of the first and the last."""
+    day, moment = timing.day_of(F.col("ts")).cast("string").alias("day"), timing.to_date(F.col("ts"))
+    ends = [F.min(moment).cast("bigint").alias("first_ts"), F.max(moment).cast("bigint").alias("last_ts")]
+    return site_log(spark, sf).groupBy(day).agg(F.count("*").alias("lookups"), *ends)
+
+
 @query
 def zone_file_read(spark, sf):
     out = work_dir(spark, "zone")

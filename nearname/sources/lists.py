@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearname.functions.names import with_dot
+from nearname.operators.ordered import with_place
 from nearname.schema import RATIO, RATIO_STATUS, STATUS_PAIR, TYPO_STATS
 from nearname.session import small_table
 from nearname.sources.logs import lookups_of, parse_lines
 
+MOST_LIST_BYTES = 64 << 20  # of a file that one task reads whole
+
 
 def site_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     """Watch-list given as names in rank order."""
@@ -19,17 +22,25 @@ def site_table(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return small_table(spark, rows, "rank int, name string").select("rank", with_dot(F.lower("name")).alias("site"))
 
 
-def read_sites(spark: SparkSession, path: str) -> DataFrame:
-    """Watch-list from a text file, one site per line; the line number is the rank.
+def read_sites(spark: SparkSession, paths: str | Sequence[str], most_bytes: int = MOST_LIST_BYTES) -> DataFrame:
+    """Watch-list from text files, one site per line; ranks follow the files by their paths and
+    the lines in each. Lines without a name keep their number. The best rank of a site stays.
 
-    ``wholetext`` makes one row of the file, so ranks follow the lines whatever the file
-    size the planner would split at. A watch-list is a hand-kept file of some thousand names.
+    ``wholetext`` makes one row of a file, so ranks follow the lines whatever the file size the
+    planner would split at. A watch-list is a hand-kept file of some thousand names; one beyond
+    ``most_bytes`` is an error.
     """
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "name"))
-    return lines.where(F.col("name") != "").select(
-        (F.col("pos") + 1).alias("rank"), with_dot(F.lower("name")).alias("site")
-    )
+    files = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
+    # The size comes with the listing, so the check reads no text.
+    listed = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    for f in listed.where(F.col("bytes") > most_bytes).take(1):
+        raise ValueError(f"{f['file']} has {f['bytes']} bytes, a watch-list has {most_bytes} at most")
+    # A line break that ends the file begins no line.
+    text = F.regexp_replace("value", r"\r?\n\z", "")
+    lines = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(text, r"\r?\n")).alias("pos", "name"))
+    ranked = with_place(lines.withColumn("name", F.trim("name")), "file", "pos", name="rank")
+    named = ranked.where(F.col("name") != "").select(F.col("rank").cast("int").alias("rank"), with_dot(F.lower("name")).alias("site"))
+    return named.groupBy("site").agg(F.min("rank").alias("rank")).select("rank", "site")
 
 
 def parse_zone(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -194,6 +194,12 @@ def test_lists(spark, tmp_path):
     assert [tuple(r) for r in read_sites(spark, str(file)).orderBy("rank").collect()] == [
         (1, "google.com."), (2, "qq.com."), (4, "bbc.co.uk."),
     ]
+    (tmp_path / "tail").write_text("QQ.com\r\nlast.org")  # ranks go on over files, the best one stays
+    assert [tuple(r) for r in read_sites(spark, [str(tmp_path / "tail"), str(file)]).orderBy("rank").collect()] == [
+        (1, "google.com."), (2, "qq.com."), (4, "bbc.co.uk."), (6, "last.org."),
+    ]
+    with pytest.raises(ValueError, match="bytes"):
+        read_sites(spark, str(file), most_bytes=10)
     lines = spark.createDataFrame([("t. a. t. b. ",), ("u.",)], "line string")
     assert {tuple(r) for r in parse_candidate_lines(lines).collect()} == {("t.", "a."), ("t.", "b.")}
     zone = spark.createDataFrame([("GOOGLE NS ns1",), ("X A 1",), (" NS y",), ("ALONE",)], "line string")
