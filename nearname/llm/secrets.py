@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearname.llm.common import free_names
+
 # The base patterns. Hexadecimal and access runs are maximal, so a minimum length
 # inside the pattern finds the same as dropping short matches; for assigned values it would
 # not, and their length is tested after the match.
@@ -128,18 +130,17 @@ def scan(docs: DataFrame, text: str = "text", allow: str = ALLOW) -> DataFrame:
 
     Places count code points, ends are exclusive. Null text counts as empty. The allow-list
     concerns entropy findings only. Texts of any length are scanned whole and where they lie:
-    nothing is shuffled. Rows that repeat are each scanned. A column ``secrets`` of ``docs`` is an
-    error, as it would be lost.
+    nothing is shuffled. Rows that repeat are each scanned. Where ``docs`` has a column ``secrets``,
+    the array's name gets underscores behind it.
     """
-    if "secrets" in {c.lower() for c in docs.columns}:
-        raise ValueError("the input has a column named secrets")
+    (name,) = free_names(docs, "secrets")
     t = F.coalesce(F.col(text), F.lit(""))
     long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 1)) >= ASSIGN_MIN
     found = [_spans(t, ASSIGN, "assign", long_value), _spans(t, ACCESS, "access"), _spans(t, HEX, "hex")]
     for kind, (pattern, bits, form) in CLASSES.items():
         odd = lambda hit, bits=bits, form=form, kind=kind: _odd(hit, bits, form, kind == "entropy_letters", allow)
         found.append(_spans(t, pattern, kind, odd))
-    return docs.withColumn("secrets", F.array_sort(F.concat(*found)))
+    return docs.withColumn(name, F.array_sort(F.concat(*found)))
 
 
 def _joined(spans: Column) -> Column:

@@ -82,5 +82,7 @@ def test_long_runs_and_stretch_borders(spark):
 
 
 def test_clashing_name(spark):
-    with pytest.raises(ValueError):
-        secrets.scan(spark.createDataFrame([("a", "b")], "text string, Secrets string"))
+    found = secrets.scan(spark.createDataFrame([("secret=abcdef0", "b")], "text string, Secrets string"))
+    assert found.columns == ["text", "Secrets", "secrets_"]
+    row = found.first()
+    assert row["Secrets"] == "b" and [s["kind"] for s in row["secrets_"]] == ["assign"]
