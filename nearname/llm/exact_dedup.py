@@ -197,9 +197,10 @@ def duplicate_table(docs: DataFrame) -> DataFrame:
 
 def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (id, tie), each once: tie is the hash of the raw
-    text. Rows repeated in full are found by their number and reduced to one. Further columns of
-    any name stay as they are."""
-    id_, tie, count, own = free_names(docs, "_id", "_tie", "_count", "_own")
+    text. Of several rows alike in both, the one with the smallest hash of all its columns stays,
+    so only rows repeated in full are interchangeable. Further columns of any name stay as they
+    are."""
+    id_, tie, count, own, whole = free_names(docs, "_id", "_tie", "_count", "_own", "_whole")
     numbers = docs.groupBy(F.col("doc_id").alias(id_), F.xxhash64("text").alias(tie)).agg(F.count("*").alias(count))
     wanted = kept.select(F.col("id").alias("_kept"), F.col("tie").alias("_kept_tie")).distinct()
     keys = numbers.join(wanted, F.col(id_).eqNullSafe(F.col("_kept")) & (F.col(tie) == F.col("_kept_tie"))).select(id_, tie, count)
@@ -208,7 +209,10 @@ def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     if keys.where(F.col(count) > 1).isEmpty():
         return found.select(*docs.columns)
     alone = found.where(F.col(count) == 1).select(*docs.columns)
-    return alone.unionByName(found.where(F.col(count) > 1).dropDuplicates([id_, tie]).select(*docs.columns))
+    order = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    first = F.min_by(F.struct(*docs.columns), order).alias(whole)
+    repeated = found.where(F.col(count) > 1).groupBy(id_, tie).agg(first).select(f"{whole}.*")
+    return alone.unionByName(repeated)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
