@@ -49,6 +49,27 @@ def free_names(docs: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``rows`` with its columns renamed to c0, c1, ... and these names by the old ones, so that
+    helper columns, which begin with an underscore or are words, replace none of them."""
+    names = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), names
+
+
+def with_own_names(rows: DataFrame, names: dict[str, str], added: dict[str, Column]) -> DataFrame:
+    """The columns of ``numbered`` under their old names and behind them the ``added`` ones; an
+    added name that the input has already gets underscores behind it."""
+    taken = {c.lower() for c in names}
+    new = []
+    for name, value in added.items():
+        while name.lower() in taken:
+            name += "_"
+        new.append(name)
+    # Renamed last: a name given in the same select would be seen inside the added expressions.
+    values = [v.alias(f"_new{i}") for i, v in enumerate(added.values())]
+    return rows.select(*names.values(), *values).toDF(*names, *new)
+
+
 def seeded_hash(seed: int, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 

@@ -14,7 +14,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearname.llm.common import free_names, running, seeded_hash, word_count
+from nearname.llm.common import free_names, numbered, running, seeded_hash, with_own_names, word_count
 from nearname.session import reliable_checkpoint
 
 WEIGHTS = (5, 2, 1)
@@ -157,17 +157,20 @@ def mix(docs: DataFrame, members: str, size: str, key: list[str], weights: dict
     ``members`` is an array of source names, which may hold null; repeated names count once and
     an empty array serves no source. The last document of a pattern may be taken in part. The
     driver sees one row per pattern, never documents; ``docs`` is read several times, so pass a
-    narrow written table.
+    narrow written table. Columns of any name stay as they are; an output whose name the input
+    has gets underscores behind it.
     """
+    docs, names = numbered(docs)
+    members, size, key = names[members], names[size], [names[k] for k in key]
     named = docs.withColumn("_p", F.array_sort(F.array_distinct(members)))
     found = named.groupBy("_p").agg(F.sum(size).alias("size")).collect()  # one row per membership pattern
     rows = sorted(((tuple(r["_p"] or ()), r["size"] or 0) for r in found), key=lambda r: [(s is None, s or "") for s in r[0]])
     plan = plan_mix(rows, weights, most)
     table = []
-    for i, ((names, total), taken) in enumerate(zip(rows, plan.taken)):
+    for i, ((sources, total), taken) in enumerate(zip(rows, plan.taken)):
         used = sum(taken.values())
         whole = used // total if total else 0
-        table.append((i, list(names), whole, used - whole * total, [(s, n) for s, n in taken.items() if n]))
+        table.append((i, list(sources), whole, used - whole * total, [(s, n) for s, n in taken.items() if n]))
     schema = "pattern int, _p array<string>, _whole long, _rest long, _flow array<struct<source: string, n: long>>"
     flows = docs.sparkSession.createDataFrame(table, schema)
     # Arrays with nulls compare equal inside a join only through their text.
@@ -187,8 +190,8 @@ def mix(docs: DataFrame, members: str, size: str, key: list[str], weights: dict
             (a["found"] | (start < a["end"] + f["n"])).alias("found"),
         ),
     )
-    credited = F.when(taken > 0, ends["source"]).alias("credited")
-    return joined.select(*docs.columns, "pattern", taken.alias("taken"), credited)
+    credited = F.when(taken > 0, ends["source"])
+    return with_own_names(joined, names, {"pattern": F.col("pattern"), "taken": taken, "credited": credited})
 
 
 def source_targets(sizes: DataFrame) -> list[tuple]:

@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearname.llm.common import running, seeded_hash, word_count
+from nearname.functions.once import once
+from nearname.llm.common import numbered, running, seeded_hash, with_own_names, word_count
 from nearname.session import reliable_checkpoint
 
 BUCKETS = 16
@@ -65,24 +66,27 @@ def pack(rows: DataFrame, length: str, key: list[str], buckets: int = BUCKETS, b
     A row longer than the budget fills a batch of its own; rows of length 0 lie in the first
     bucket. An empty table gives an empty table. The driver holds one number per length that
     occurs, which the longest row bounds, not the number of rows. ``rows`` is read several
-    times, so pass a narrow written table.
+    times, so pass a narrow written table. Equal rows are interchangeable. Columns of any name
+    stay as they are; an output whose name the input has gets underscores behind it.
     """
+    rows, names = numbered(rows)
+    length, key = names[length], [names[k] for k in key]
     counts = {r[0]: r[1] for r in rows.groupBy(length).count().collect()}  # one row per length
     ends = best_boundaries(counts, buckets)
     bounds = F.array(*[F.lit(e).cast("bigint") for e in ends]) if ends else F.array().cast("array<bigint>")
     bucket = F.size(F.filter(bounds, lambda e: e < F.col(length)))
-    keyed = rows.withColumn("bucket", bucket).withColumn("_h", seeded_hash(seed, *key))
-    placed = running(keyed, "bucket", ["_h", *key, length])
-    bound = F.get(bounds, F.col("bucket"))
+    # Pinned, as the optimizer else puts the fold over the boundaries where its input is gone.
+    keyed = once(rows, "_bucket", bucket).withColumn("_h", seeded_hash(seed, *key))
+    placed = running(keyed, "_bucket", ["_h", *key, length])
+    bound = F.get(bounds, F.col("_bucket"))
     fits = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(bound, F.lit(1)))).cast("bigint")
-    return placed.select(
-        *rows.columns, "bucket", bound.alias("bucket_length"), F.floor(F.col("place") / fits).cast("bigint").alias("batch"),
-        F.pmod("place", fits).cast("bigint").alias("slot"), (bound - F.col(length)).alias("padding"),
-    )
+    batch, slot = F.floor(F.col("place") / fits).cast("bigint"), F.pmod("place", fits).cast("bigint")
+    added = {"bucket": F.col("_bucket"), "bucket_length": bound, "batch": batch, "slot": slot, "padding": bound - F.col(length)}
+    return with_own_names(placed, names, added)
 
 
 def pack_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every document's bucket and batch by its number of words, with the ``keep`` columns; null
-    text has length 0. Equal rows are interchangeable."""
+    text has length 0, long texts are counted whole. Equal rows are interchangeable."""
     narrow = docs.select(*keep, word_count(F.col("text")).alias("n_words"), F.xxhash64("text").alias("_text"))
     return pack(reliable_checkpoint(narrow), "n_words", [keep[0], "_text"]).drop("_text")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearname.llm.common import numbered, with_own_names
 from nearname.session import reliable_checkpoint
 
 RING_BITS = 14
@@ -93,8 +94,12 @@ def assign_shards(rows: DataFrame, key: list[str], size: str, shards: int = 16,
 
     Nulls in ``key`` hash like any value; equal rows are interchangeable; an empty table gives
     an empty table. ``rows`` is read twice, so pass a written or narrow table. The key should
-    tell rows apart: rows equal in all of ``key`` share a cell.
+    tell rows apart: rows equal in all of ``key`` share a cell. Columns of any name stay as they
+    are; an output whose name the input has gets underscores behind it. Text is not looked at, so
+    its length does not matter.
     """
+    rows, names = numbered(rows)
+    key, size = [names[k] for k in key], names[size]
     celled = rows.withColumn("_h", F.xxhash64(F.lit(seed), *key)).withColumn("_cell", F.shiftrightunsigned("_h", 64 - RING_BITS).cast("int"))
     counts = celled.groupBy("_cell").agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()  # 2**RING_BITS rows at most
     pieces = walk({r["_cell"]: (r["n"], r["b"] or 0) for r in counts}, shards, by, slack, vnodes)
@@ -102,8 +107,8 @@ def assign_shards(rows: DataFrame, key: list[str], size: str, shards: int = 16,
     inside = Window.partitionBy("_cell").orderBy("_h", *key, size)
     ranked = celled.withColumn("_k", F.row_number().over(inside) - 1)
     met = ranked.join(table, "_cell").where((F.col("_k") >= F.col("_low")) & (F.col("_k") < F.col("_high")))
-    slot = (F.col("_slot") + F.col("_k") - F.col("_low")).alias("slot")
-    return met.select(*rows.columns, "shard", "home_shard", slot)
+    slot = F.col("_slot") + F.col("_k") - F.col("_low")
+    return with_own_names(met, names, {"shard": F.col("shard"), "home_shard": F.col("home_shard"), "slot": slot})
 
 
 def text_size(text: Column) -> Column:
