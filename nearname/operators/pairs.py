@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from nearname.functions.distance import osa
 from nearname.functions.names import name_suffix
 from nearname.functions.once import distinct_with
+from nearname.functions.records import export_line
 from nearname.operators.cache import visible_lookups
 from nearname.operators.extract import lookalike_lookups
 from nearname.operators.seconds import BIN_S, GROUP, running_fold, second_counts, with_keys
@@ -59,7 +60,9 @@ def pair_rows(
     return joined.withColumn("delay_s", delay).where(F.col("delay_s").between(low, high)).drop("_bin")
 
 
-def _side(rows: DataFrame, side: str, on: Sequence[str], records: bool, name: str | None = None) -> DataFrame:
+def _side(
+    rows: DataFrame, side: str, on: Sequence[str], records: bool, name: str | None = None, lines: bool = False
+) -> DataFrame:
     columns = [*on, F.col("ts").alias(f"{side}_ts")]
     if name:
         columns.append(F.col(name).alias(side))
@@ -68,6 +71,9 @@ def _side(rows: DataFrame, side: str, on: Sequence[str], records: bool, name: st
     if records:
         kept = ("ts", "typ", "src_ip", "dst_ip", "qname", "qtype", "rcode", "answer", "authority", "additional")
         columns.append(F.struct(*kept).alias(f"{side}_record"))
+    if lines:
+        # Below the join: a lookup's text is made once, however many pairs the lookup is in.
+        columns.append(export_line().alias(f"{side}_line"))
     return rows.select(*columns)
 
 
@@ -78,17 +84,19 @@ def visible_pairs(
     records: bool = False,
     split_rows: int = SPLIT_ROWS,
     bin_s: int = BIN_S,
+    lines: bool = False,
 ) -> DataFrame:
     """Every look-alike lookup with each correct lookup 0..window_s seconds later from the
-    same /16, both not hidden by a cached answer."""
+    same /16, both not hidden by a cached answer; with ``records`` both lookups whole, with
+    ``lines`` their text forms."""
     counts = second_counts(site_log) if counts is None else counts
     rows = visible_lookups(site_log, counts, bin_s).where(F.col("net16").isNotNull())
-    if not records:
+    if not (records or lines):
         # Both sides come from one written narrow table, so visibility is worked out once.
         kept = [c for c in ("lookup_id",) if c in rows.columns]
         rows = reliable_checkpoint(rows.select(*GROUP, "ts", "suffix", *kept))
-    typos = _side(rows.where(F.col("suffix") != F.col("target")), "typo", GROUP, records, "suffix")
-    targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", GROUP, records)
+    typos = _side(rows.where(F.col("suffix") != F.col("target")), "typo", GROUP, records, "suffix", lines)
+    targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", GROUP, records, lines=lines)
     return pair_rows(typos, targets, GROUP, 0, window_s, split_rows, counts)
 
 
@@ -116,14 +124,18 @@ def near_pairs(
     split_rows: int = SPLIT_ROWS,
     counts: DataFrame | None = None,
     records: bool = False,
+    lines: bool = False,
 ) -> DataFrame:
     """Pairs over all networks whose look-alike is exactly ``distance`` edits from the site:
-    0 <= delay < window_s; with ``records`` both lookups whole, for their text form."""
+    0 <= delay < window_s; with ``records`` both lookups whole, with ``lines`` their text forms."""
     rows = site_log.withColumn("suffix", name_suffix("qname", "target"))
-    names = distinct_with(rows, ["target", "suffix"], "distance", osa("suffix", "target"))
-    close = names.where(F.col("distance") == distance)
-    typos = _side(rows.join(close, ["target", "suffix"], "left_semi"), "typo", ["target"], records, "suffix")
-    targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", ["target"], records)
+    # Every edit is at most two of the built-in Levenshtein distance, which stops at its bound:
+    # the interpreted distance is left for names near their site, not all that were looked up.
+    near = F.levenshtein("suffix", "target", 2 * distance) >= 0
+    names = distinct_with(rows, ["target", "suffix"], "distance", F.when(near, osa("suffix", "target")))
+    close = reliable_checkpoint(names.where(F.col("distance") == distance).select("target", "suffix"))
+    typos = _side(rows.join(close, ["target", "suffix"], "left_semi"), "typo", ["target"], records, "suffix", lines)
+    targets = _side(rows.where(F.col("suffix") == F.col("target")), "target", ["target"], records, lines=lines)
     return pair_rows(typos, targets, ["target"], 0, window_s - 1, split_rows, counts)
 
 
