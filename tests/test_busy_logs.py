@@ -3,7 +3,12 @@
 from pyspark.sql import functions as F
 
 from nearname.operators import pairs
-from tests.test_brute_force import SITE, as_log
+from nearname.sources import sinks
+from tests.test_brute_force import FIXTURE, SITE, as_log
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_distance_only_of_near_names(spark, monkeypatch):
@@ -19,3 +24,12 @@ def test_swapped_letters_are_near(spark):
     """Two edits of the built-in distance, one of the study's."""
     rows = [(1, 1000, "10.1.0.5", "ogogle.com.", None), (2, 1059, "10.9.0.1", SITE, None), (3, 1000, "10.1.0.5", "ogoglee.com.", None)]
     assert [r["typo_id"] for r in pairs.near_pairs(as_log(spark, rows)).collect()] == [1]
+
+
+def test_text_is_made_below_the_join(spark):
+    log = as_log(spark, FIXTURE)
+    for made in (pairs.near_pairs, pairs.visible_pairs):
+        lines = sinks.pair_lines(made(log, lines=True))
+        top = plan_of(lines).split("Join")[0]
+        assert "transform" not in top and "transform" in plan_of(lines)
+        assert sorted(lines.collect()) == sorted(sinks.pair_lines(made(log, records=True)).collect()) != []
