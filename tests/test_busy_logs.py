@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from nearname.operators import pairs
-from nearname.sources import sinks
+from nearname.sources import lists, sinks
 from tests.test_brute_force import FIXTURE, SITE, as_log
 
 
@@ -33,3 +33,16 @@ def test_text_is_made_below_the_join(spark):
         top = plan_of(lines).split("Join")[0]
         assert "transform" not in top and "transform" in plan_of(lines)
         assert sorted(lines.collect()) == sorted(sinks.pair_lines(made(log, records=True)).collect()) != []
+
+
+def test_status_pairs_are_not_gathered(spark, tmp_path):
+    """Both folders come from the tasks that make the pairs, compressed; an unknown status is none."""
+    rows = [("a.", 1, "s.", 2, "10.1.0.0", e) for e in (True, False, None)]
+    found = spark.createDataFrame(rows, "typo string, typo_ts long, target string, target_ts long, net16 string, exists boolean")
+    sinks.write_status_pairs(found.repartition(3), str(tmp_path / "s"))
+    read = lambda s: lists.read_status_pairs(spark, str(tmp_path / "s" / f"status={s}")).count()
+    assert (read("existed"), read("nonexisted")) == (1, 2)
+    files = [p.name for p in (tmp_path / "s").rglob("part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    sinks.write_status_pairs(found.where("exists"), str(tmp_path / "s"))
+    assert (read("existed"), read("nonexisted")) == (1, 0)
