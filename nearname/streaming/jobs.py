@@ -12,6 +12,7 @@ from nearname.operators.cache import hidden_seconds
 from nearname.operators.fuzzy import match_names, with_sites
 from nearname.operators.pairs import WINDOW_S, pair_rows
 from nearname.operators.seconds import BIN_S, GROUP, add_counts, second_counts, with_keys
+from nearname.operators.skew import MAX_BROADCAST_ROWS, broadcast_if_small
 from nearname.session import reliable_checkpoint, scratch
 from nearname.sources.ledger import committed, read_folders
 from nearname.sources.logs import lookups_of, parse_lines
@@ -207,9 +208,16 @@ def visible_stream_pairs(found: DataFrame, counts: DataFrame, bin_s: int = BIN_S
     ``counts`` are the second counts of all rows that have arrived. However late these came,
     the result is that of the batch job over the same rows.
     """
-    hidden = hidden_seconds(counts, bin_s)
+    # 64 seconds to a row: small beside the pairs, which then stay where they are.
+    page, place = lambda ts: F.floor(ts / 64).alias("_page"), lambda ts: F.pmod(ts, F.lit(64)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(pmod(ts, 64) AS int))")
+    hidden = hidden_seconds(counts, bin_s).groupBy(*GROUP, page(F.col("ts"))).agg(F.bit_or(bit).alias("_hidden"))
+    pages = reliable_checkpoint(hidden)
+    rows = pages.limit(MAX_BROADCAST_ROWS + 1).count()
     for at in ("typo_ts", "target_ts"):
-        found = found.join(hidden.withColumnRenamed("ts", at), [*GROUP, at], "left_anti")
+        placed = found.withColumn("_page", page(F.col(at)))
+        joined = placed.join(broadcast_if_small(pages, rows), [*GROUP, "_page"], "left")
+        found = joined.where(F.coalesce(F.getbit("_hidden", place(F.col(at))), F.lit(0)) == 0).select(*found.columns)
     return found
 
 

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from nearname.operators import pairs
+from nearname.operators.seconds import second_counts
 from nearname.sources import lists, sinks
+from nearname.streaming import jobs
 from tests.test_brute_force import FIXTURE, SITE, as_log
 
 
@@ -46,3 +48,18 @@ def test_status_pairs_are_not_gathered(spark, tmp_path):
     assert files and all(f.endswith(".csv.gz") for f in files)
     sinks.write_status_pairs(found.where("exists"), str(tmp_path / "s"))
     assert (read("existed"), read("nonexisted")) == (1, 0)
+
+
+def test_hidden_seconds_meet_pairs_without_a_shuffle(spark):
+    rows = [*FIXTURE, (11, -100, "10.1.0.5", "gogle.com.", None), (12, -70, "10.1.0.5", SITE, 40), (13, -65, "10.1.0.5", "gogle.com.", None), (14, -30, "10.1.0.5", SITE, None)]
+    log = as_log(spark, rows)
+    counts = second_counts(log)
+    keyed = jobs.with_keys(log).where("net16 IS NOT NULL")
+    typos = keyed.where("suffix <> target").select("target", "net16", F.col("ts").alias("typo_ts"))
+    targets = keyed.where("suffix = target").select("target", "net16", F.col("ts").alias("target_ts"))
+    seen = jobs.visible_stream_pairs(pairs.pair_rows(typos, targets, ["target", "net16"], 0, 60), counts)
+    want = pairs.visible_pairs(log, counts).select("typo_ts", "target_ts").collect()
+    assert sorted(seen.select("typo_ts", "target_ts").collect()) == sorted(want) and (-100, -70) in [tuple(r) for r in want]
+    all_pairs = spark.range(10).selectExpr("'s.' AS target", "'10.1.0.0' AS net16", "id AS typo_ts", "id AS target_ts")
+    physical = jobs.visible_stream_pairs(all_pairs, counts)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in physical
