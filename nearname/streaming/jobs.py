@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from nearname.operators.cache import hidden_seconds
@@ -18,6 +21,7 @@ from nearname.sources.ledger import committed, read_folders
 from nearname.sources.logs import lookups_of, parse_lines
 
 FILES_PER_ROUND = 4
+GATHER_BYTES = 1 << 26
 
 
 def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
@@ -75,6 +79,44 @@ def read_by_site(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _by_second(rows: DataFrame, keep: Sequence[str], width: int) -> DataFrame:
+    """(target, net16, ts, rows): the lookups of a site, network and second that arrive together as
+    one row, with an array of their ``keep`` columns.
+
+    A second may come in several rows: it is gathered within a round, and of a task's rows within
+    ``GATHER_BYTES``.
+    """
+    kept = T.StructType([rows.schema[c] for c in keep])
+    schema = T.StructType([*(rows.schema[c] for c in (*GROUP, "ts")), T.StructField("rows", T.ArrayType(kept))])
+
+    def gathered(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        codes = [table[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for c in GROUP]
+        keys = [*codes, table["ts"].to_numpy()]
+        order = np.lexsort(keys)
+        new = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        firsts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        offsets = pa.array(np.append(firsts, len(order)), pa.int32())
+        table = table.take(pa.array(order))
+        each = pa.StructArray.from_arrays([table[c].combine_chunks() for c in keep], fields=[table.schema.field(c) for c in keep])
+        heads = table.select([*GROUP, "ts"]).take(pa.array(firsts))
+        yield from heads.append_column("rows", pa.ListArray.from_arrays(offsets, each)).to_batches(max_chunksize=10_000)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.nbytes for b in held) > GATHER_BYTES:
+                yield from gathered(held)
+                held = []
+        if held:
+            yield from gathered(held)
+
+    rows = rows.where(F.col("ts").isNotNull()).select(*GROUP, "ts", *keep)
+    return rows.repartition(*GROUP, F.floor(F.col("ts") / width)).mapInArrow(gather, schema)
+
+
 def stream_pairs(
     typos: DataFrame,
     targets: DataFrame,
@@ -88,7 +130,8 @@ def stream_pairs(
     Inputs are streams with target, net16 and ts, typos also with typo. State is held per
     site, network, time bin and piece, so a site or network with a large share of the log is
     spread over many state stores; ``pieces`` repeats look-alike rows and is for bins too large
-    for one. By default every pair is found however late its rows arrive, and state is kept.
+    for one. Lookups of a site, network and second go into the state as one row, so the work of the
+    join follows the seconds; the pairs are listed above it. By default every pair is found however late its rows arrive, and state is kept.
     With ``lateness`` a bin's state goes once the watermark has passed it, and rows that come
     later than that find no partner. Whether a cached answer hides a pair depends on earlier
     lookups that may still arrive, so pairs are written as found; ``visible_stream_pairs``
@@ -100,16 +143,18 @@ def stream_pairs(
     first = F.floor(F.col("ts") / width)
     last = F.floor((F.col("ts") + window_s) / width)
     left = late(
-        typos.select(*GROUP, "typo", *keep, F.col("ts").alias("typo_ts"), at.alias("typo_at"), F.explode(F.sequence(first, last)).alias("bin"))
+        _by_second(typos, ["typo", *keep], width)
+        .select(*GROUP, F.col("rows").alias("typos"), F.col("ts").alias("typo_ts"), at.alias("typo_at"), F.explode(F.sequence(first, last)).alias("bin"))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
         , "typo_at",
     )
-    right = late(targets.select(
+    right = late(_by_second(targets.withColumn("one", F.lit(True)), ["one"], width).select(
         *GROUP,
+        F.size("rows").alias("lookups"),
         F.col("ts").alias("target_ts"),
         at.alias("target_at"),
         first.alias("bin"),
-        F.pmod(F.xxhash64(*targets.columns), F.lit(pieces)).cast("int").alias("piece"),
+        F.pmod(F.xxhash64(*GROUP, "ts"), F.lit(pieces)).cast("int").alias("piece"),
     ), "target_at")
     right = right.select(*[F.col(c).alias(f"r_{c}" if c in (*GROUP, "bin", "piece") else c) for c in right.columns])
     same = [F.col(c) == F.col(f"r_{c}") for c in (*GROUP, "bin", "piece")]
@@ -121,7 +166,9 @@ def stream_pairs(
         condition = condition & c
     joined = left.join(right, condition)
     delay = F.col("target_ts") - F.col("typo_ts")
-    return joined.select(*GROUP, "typo", *keep, "typo_ts", "target_ts", delay.alias("delay_s"))
+    each = joined.select(*GROUP, "typos", "lookups", "typo_ts", "target_ts", F.explode("typos").alias("_t"))
+    each = each.select("*", F.explode(F.sequence(F.lit(1), F.col("lookups"))))
+    return each.select(*GROUP, *[F.col("_t")[c].alias(c) for c in ("typo", *keep)], "typo_ts", "target_ts", delay.alias("delay_s"))
 
 
 def pair_rounds(
