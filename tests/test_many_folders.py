@@ -52,3 +52,16 @@ def test_large_folders_are_cut(spark, tmp_path):
 def test_no_rows_make_no_folder(spark, tmp_path):
     sinks.write_table_by(spark.createDataFrame([], "target string, n long"), ["target"], str(tmp_path / "t"))
     assert files_of(tmp_path / "t") == [] or {f for f, _ in files_of(tmp_path / "t")} == {"t"}
+
+
+def test_gzip_lines_have_no_second_file_and_are_read_by_some_tasks(spark, tmp_path):
+    log, out = as_log(spark, FIXTURE).limit(1), tmp_path / "typos"
+    log = log.withColumn("typo", F.explode(F.array(*[F.lit(f"n{n}") for n in range(MANY)])))
+    sinks.write_lines_by(log, ["typo"], str(out))
+    sinks.write_lines_by(log, ["typo"], str(tmp_path / "plain"), compression="none")
+    assert not list(out.rglob("typo=*/.*.crc")) and list((tmp_path / "plain").rglob("typo=*/.*.crc"))
+    lines = sinks.read_lines_by(spark, str(out), ["typo"])
+    assert lines.rdd.getNumPartitions() <= sinks.LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert lines.count() == lines.select("typo").distinct().count() == MANY
+    sinks.write_lines_by(log, ["typo"], str(out))
+    assert sinks.read_lines_by(spark, str(out), ["typo"]).count() == 2 * MANY
